@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, mixing, sharding, token_counts
+from loomline.llm import bpe, mixing, secrets, sharding, token_counts
 from loomline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return bpe.encode_and_decode(documents, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
@@ -33,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op4_mix_sources": op4_mix_sources,
         "op5_hilbert_shards": op5_hilbert_shards,
+        "op6_secret_scans": op6_secret_scans,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
 
