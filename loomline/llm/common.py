@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,7 @@ def per_batch(frame: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch]
     return frame.mapInArrow(run, schema)
 
 
-def crc_of_id(column: str):
-    """crc32 of an id written as text; null where the id is null."""
-    return F.crc32(F.col(column).cast("string").cast("binary"))
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id written as text falls in this fold; false where the id is null."""
+    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    return F.coalesce(crc % folds == fold, F.lit(False))

@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import bpe, mixing, secrets, sharding, token_counts
-from loomline.llm.common import table
+from loomline.llm import bpe, langid, mixing, secrets, sharding, token_counts
+from loomline.llm.common import held_out, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 4, 2)
+    profiles = langid.Profiles(langid.learn(documents.where(~held)))
+    return langid.identify(documents, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_language_id": op3_language_id,
         "op4_mix_sources": op4_mix_sources,
         "op5_hilbert_shards": op5_hilbert_shards,
         "op6_secret_scans": op6_secret_scans,
