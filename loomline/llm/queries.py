@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, langid, mixing, secrets, sharding, token_counts, topk
+from loomline.llm import bpe, hmm, langid, mixing, secrets, sharding, token_counts, topk
 from loomline.llm.common import held_out, table
 
 
@@ -44,6 +44,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(documents, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hilbert_shards": op5_hilbert_shards,
         "op6_secret_scans": op6_secret_scans,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_hmm_scores": op10_hmm_scores,
     }
 
 
