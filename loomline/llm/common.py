@@ -48,3 +48,22 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id written as text falls in this fold; false where the id is null."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     return F.coalesce(crc % folds == fold, F.lit(False))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) for every run of equal keys in a sorted partition; one run is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        seen = [*zip(*(batch.column(k).to_pylist() for k in keys))]
+        start = 0
+        for i in range(1, len(seen) + 1):
+            if i < len(seen) and seen[i] == seen[start]:
+                continue
+            if held and seen[start] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = seen[start]
+            held.append(batch.slice(start, i - start))
+            start = i
+    if held:
+        yield now, pa.Table.from_batches(held)
