@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, hmm, langid, mixing, near_dedup, secrets, sharding, token_counts, topk
+from loomline.llm import bpe, embedding_dedup, hmm, langid, mixing, near_dedup, secrets, sharding, token_counts, topk
 from loomline.llm.common import held_out, table
 
 
@@ -43,6 +43,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return bpe.encode_and_decode(documents, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hilbert_shards": op5_hilbert_shards,
         "op6_secret_scans": op6_secret_scans,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_hmm_scores": op10_hmm_scores,
     }
