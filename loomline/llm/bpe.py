@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from sys import byteorder
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -167,6 +168,10 @@ def encode_and_decode(documents: DataFrame, path: str, id_col: str = "doc_id", t
     empty table gives an empty result; texts and words of any length are taken whole.  ``path``
     names a tokenizer file present on every executor.
     """
+    def lists(packed: list[bytes]) -> pa.ListArray:
+        offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -177,11 +182,11 @@ def encode_and_decode(documents: DataFrame, path: str, id_col: str = "doc_id", t
             ids_sha.append(hashlib.sha256(packed).hexdigest())
             text_sha.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
             if keep_ids:
-                ids.append(memoryview(packed).cast("I").tolist() if byteorder == "little" else array("I", packed).tolist())
+                ids.append(packed)
                 decoded.append(back)
         columns = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
         if keep_ids:
-            columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+            columns |= {"ids": lists(ids), "decoded": pa.array(decoded, pa.string())}
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     more = ", ids array<int>, decoded string" if keep_ids else ""

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: N-grams in a profile.
@@ -156,12 +156,14 @@ def identify(documents: DataFrame, profiles: Profiles, text_col: str = "text", k
     empty result; texts of any length are ranked whole.
     """
 
+    columns = [*dict.fromkeys([*keep, text_col])]
+    at = columns.index(text_col)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = profiles.predict(batch.column(0).to_pylist())
-            columns = [*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            found = profiles.predict(batch.column(at).to_pylist())
+            out = [*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score"])
 
-    kept: list[Column] = [F.col(c) for c in keep]
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(F.col(text_col).alias("__text"), *kept).mapInArrow(make, f"{schema}, lang_pred string, score double")
+    return documents.select(*columns).mapInArrow(make, f"{schema}, lang_pred string, score double")
