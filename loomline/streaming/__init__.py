@@ -1,0 +1 @@
+"""Streams.  The dialect has no streaming statement, so nothing is defined here; every plan is a batch."""
