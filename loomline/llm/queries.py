@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, embedding_dedup, hmm, langid, mixing, near_dedup, secrets, sharding, token_counts, topk
+from loomline.llm import bpe, embedding_dedup, hmm, langid, mixing, near_dedup, oracles, secrets, sharding, token_counts, topk
 from loomline.llm.common import held_out, table
 
 
@@ -72,4 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": topk.TOP_K_SQL}
+    return {
+        "op2_exact_topk": topk.TOP_K_SQL,
+        "op4_mix_sources": oracles.MIX_SOURCES,
+        "op7_minhash_near_dedup": oracles.MINHASH_NEAR_DEDUP,
+        "op8_embedding_near_dedup": oracles.EMBEDDING_NEAR_DEDUP,
+    }
