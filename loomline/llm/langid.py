@@ -38,7 +38,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, n-gram, count), sorted by text and n-gram, of lower-cased texts.
 
     All texts form one array of code points; whatever is no letter becomes a blank, and an n-gram
-    is kept if its inner places hold no blank, so that it lies within one padded word.
+    lies within one padded word.
     """
     lowered = [t.lower() for t in texts]
     lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
@@ -50,14 +50,16 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     symbol[1:-1][letter] = code + 2
     owner = np.repeat(np.arange(len(texts)), lengths)
     a, b, c = symbol[:-2], symbol[1:-1], symbol[2:]
-    here, pair, triple = b > 1, (b > 1) | (c > 1), b > 1
-    # The pair (b, c) counts if one is a letter; the triple (a, b, c) if the middle one is.
+    here = b > 1
+    ends = here & (c == 1)
+    # A letter's n-grams: itself, the pair and triple around it, and at a word's end the pair after it.
     span = base**3
     keys = np.concatenate(
         [
             owner[here] * span + b[here] * base * base,
-            owner[pair] * span + (b * base + c)[pair] * base,
-            owner[triple] * span + ((a * base + b) * base + c)[triple],
+            owner[here] * span + (a * base + b)[here] * base,
+            owner[ends] * span + (b * base + c)[ends] * base,
+            owner[here] * span + ((a * base + b) * base + c)[here],
         ]
     )
     keys, counts = np.unique(keys, return_counts=True)
