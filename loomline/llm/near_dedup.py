@@ -6,14 +6,16 @@ m matches the similarity has a Beta(m + 1, n - m + 1) posterior, and the pair is
 probability of reaching the threshold falls below the chosen miss probability.  What survives is
 confirmed on whole shingle sets.
 
-Not all pairs of a bucket are needed.  First each node is compared with its bucket's least node;
-the links found make components.  Then only buckets that still span components are taken up again:
-in those, nodes outside the bucket's most common component meet all nodes of other components,
-in cells of bounded size.  Pairs within a component need no look, as they cannot change it.
+Not all pairs of a bucket are needed.  First each node is compared with its bucket's centre, the node
+that shares most buckets with others: in a family of copies of one text that is the text itself.  The
+links found make components.  Then only buckets that still span components are taken up again: in
+those, nodes outside the bucket's most common component meet all nodes of other components, in
+cells of bounded size.  Pairs within a component need no look, as they cannot change it.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -32,11 +34,15 @@ ROWS, BATCH = 6, 30
 #: Probability that a pair at the threshold shares no band, and that the posterior drops it.
 MISS = 1e-5
 #: Rows of a cell: nodes outside the most common component, and nodes that they meet.
-OUTSIDE, MET = 64, 2048
+OUTSIDE, MET = 256, 2048
+#: Signature values for pairs across components: there may be many pairs just below the threshold.
+LONGER = 600
 #: Members of one task's star; larger stars are split.
 STAR = 512
 #: Shingles that are hashed together.
 TOGETHER = 400_000
+#: Signature values are the upper 16 bits: chance matches are rarer than any count here can tell.
+SIGNED = "<u2"
 
 
 def bands_for(percent: int) -> int:
@@ -44,6 +50,7 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
+@functools.lru_cache(maxsize=256)
 def least_matches(n: int, percent: int) -> int:
     """The fewest matches among n hashes at which P(similarity >= threshold) is ``MISS`` or more.
 
@@ -93,7 +100,7 @@ def set_digest(hashes: np.ndarray) -> bytes:
 def _signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     """MinHash signatures (sets x n) of sets that are not empty."""
     a, b = _multipliers(n)
-    out = np.empty((len(sets), n), "<u4")
+    out = np.empty((len(sets), n), SIGNED)
     at = 0
     while at < len(sets):
         stop, size = at, 0
@@ -103,35 +110,35 @@ def _signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
         x = np.concatenate(sets[at:stop])
         starts = np.cumsum([0, *(len(s) for s in sets[at : stop - 1])])
         for k in range(n):
-            out[at:stop, k] = np.minimum.reduceat(x * a[k] + b[k], starts) >> np.uint64(32)
+            out[at:stop, k] = np.minimum.reduceat(x * a[k] + b[k], starts) >> np.uint64(48)
         at = stop
     return out
 
 
-def _features(documents: DataFrame, id_col: str, text_col: str, words: int, n: int) -> DataFrame:
-    """(id, n_shingles, node, sig): node is the digest of the shingle set, null for the empty set."""
+def _sets(documents: DataFrame, id_col: str, text_col: str, words: int, n: int = 0) -> DataFrame:
+    """(id, n_shingles, digest), and with n > 0 also sig; digest and sig are null for the empty set."""
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            some = [s for s in sets if len(s)]
-            signed = iter([row.tobytes() for row in _signatures(some, n)] if some else [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(signed) if len(s) else None for s in sets], pa.binary()),
-                ],
-                names=["id", "n_shingles", "node", "sig"],
-            )
+            columns = {
+                "id": batch.column(0),
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "digest": pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+            }
+            if n:
+                some = [s for s in sets if len(s)]
+                signed = iter([row.tobytes() for row in _signatures(some, n)] if some else [])
+                columns["sig"] = pa.array([next(signed) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {id_type}, n_shingles long, node binary, sig binary")
+    more = ", sig binary" if n else ""
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {id_type}, n_shingles long, digest binary{more}")
 
 
 def _stacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), SIGNED).reshape(len(column), -1)
 
 
 def _bands(nodes: DataFrame, bands: int) -> DataFrame:
@@ -148,22 +155,33 @@ def _bands(nodes: DataFrame, bands: int) -> DataFrame:
             who = np.repeat(np.arange(batch.num_rows), bands)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(who))], names=["key", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(make, "key long, node binary")
+    return nodes.select("node", "sig").mapInArrow(make, "key long, node long")
 
 
-def _plausible(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which row pairs of two signature tables stay plausible through all batches."""
-    alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
+def _crowded(nodes: DataFrame, bands: int) -> DataFrame:
+    """(key, node, centre) of every bucket of two nodes or more.
+
+    The centre is the node that meets most others over all its buckets; ties go to the larger node.
+    """
+    keyed = _bands(nodes, bands)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    rows = cut(keyed.join(sizes, "key"))
+    weights = rows.groupBy("node").agg(F.sum("m").alias("weight"))
+    centres = rows.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
+    return cut(rows.join(centres.select("key", F.col("top.node").alias("centre")), "key").select("key", "node", "centre"))
+
+
+def _plausible(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a row i of one signature table and a row j of another stay plausible through all batches."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
     for n in range(BATCH, left.shape[1] + 1, BATCH):
         if not len(alive):
             break
         part = slice(n - BATCH, n)
-        matches = matches + (left[alive, part] == right[alive, part]).sum(1)
+        matches = matches + (left[i[alive], part] == right[j[alive], part]).sum(1)
         keep = matches >= least_matches(n, percent)
         alive, matches = alive[keep], matches[keep]
-    out = np.zeros(len(left), bool)
-    out[alive] = True
-    return out
+    return alive
 
 
 def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -172,41 +190,61 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = _plausible(_stacked(batch.column("sig_a")), _stacked(batch.column("sig_b")), percent)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                same = np.arange(batch.num_rows)
+                keep = _plausible(_stacked(batch.column("sig_a")), _stacked(batch.column("sig_b")), same, same, percent)
+                yield batch.select(["a", "b"]).take(pa.array(keep))
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(make, "a binary, b binary")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(make, "a long, b long")
+
 
+def _texts(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(node, digest, text) for the wanted (node, digest, rep): the text of one document of each class.
+
+    Documents are found by the class's least id; those of classes without any id, by digest.
+    A row whose id is another document's too may have another text, which ``_confirm`` notices.
+    """
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = rows.join(wanted.where(F.col("rep").isNotNull()), F.col("id") == F.col("rep")).select("node", "digest", "text")
+    nameless = rows.where(F.col("id").isNull())
+    digests = nameless.mapInArrow(_with_digest(words), "digest binary, text string")
+    return cut(named.unionByName(digests.join(wanted.where(F.col("rep").isNull()), "digest").select("node", "digest", "text")))
+
+
+def _with_digest(words: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            digests = [set_digest(shingles(t, words)) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), texts], names=["digest", "text"])
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    return make
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets reach the threshold.
 
     Each star (pairs of one a) gets a's text once for every ``STAR`` members and each member's text
-    once; texts come from one document of each class, and a set must have its node's digest.
+    once; a set must have its node's digest.
     """
-    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = involved.join(nodes.select("node", "rep"), "node")
-    texts = cut(
-        documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates()
-    )
     stars = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {STAR}) AS int)").alias("parts"))
-    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
-    members = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
-    centres = stars.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), F.lit(None).cast("binary").alias("b"), "text")
+    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    members = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "digest", "text")
+    parts = F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
+    centres = stars.join(texts.withColumnRenamed("node", "a"), "a").select("a", parts, F.lit(None).cast("long").alias("b"), "digest", "text")
     # Sorted so that a centre comes before its members; a task holds one centre's set at a time.
     dealt = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").to_pylist()):
-                if b is None and a == centre and own is not None:
+            found: list[tuple[int, int]] = []
+            for a, b, digest, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "digest", "text"))):
+                if b is None and a == centre:
                     continue
                 hashes = shingles(text, words)
-                if set_digest(hashes) != (a if b is None else b):
+                if set_digest(hashes) != digest:
                     continue
                 if b is None:
                     centre, own = a, hashes
@@ -214,19 +252,38 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, id_col: s
                     both = len(np.intersect1d(own, hashes, assume_unique=True))
                     if 100 * both >= percent * (len(own) + len(hashes) - both):
                         found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"])
+            yield _pairs(found)
+
+    return dealt.mapInArrow(make, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
 
-    return dealt.mapInArrow(make, "a binary, b binary")
+def _longer(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, sig) with ``LONGER`` values for the wanted nodes, from their texts."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
+            right = [i for i, d in enumerate(batch.column(1).to_pylist()) if len(sets[i]) and set_digest(sets[i]) == d]
+            if right:
+                sig = _signatures([sets[i] for i in right], LONGER)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right)), pa.array([row.tobytes() for row in sig], pa.binary())], names=["node", "sig"])
+
+    return texts.join(wanted, "node").select("node", "digest", "text").mapInArrow(make, "node long, sig binary").dropDuplicates(["node"])
 
-def _leftover_pairs(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs across components in buckets that span several, beyond those with the centre."""
+
+def _leftover_pairs(crowded: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Plausible pairs across components in buckets that span several, but for those with the centre."""
     rows = crowded.where(F.col("node") != F.col("centre")).select("key", "node")
     rows = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     spans = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main"))
     spans = spans.where(F.col("roots") > 1).select("key", "n", (F.col("n") - F.col("most")).alias("outside"), "main")
-    rows = rows.join(spans, "key").join(nodes.select("node", "sig"), "node")
+    rows = cut(rows.join(spans, "key"))
+    rows = rows.join(_longer(texts, rows.select("node").distinct(), words), "node")
     blocks, parts = F.expr(f"cast(ceil(outside / {OUTSIDE}) AS int)"), F.expr(f"cast(ceil(n / {MET}) AS int)")
     block, part = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("node"), parts).cast("int")
     outside = rows.where(F.col("root") != F.col("main")).select("key", "node", "root", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"))
@@ -234,43 +291,35 @@ def _leftover_pairs(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, perc
     cell = ["key", "block", "part"]
     dealt = outside.unionByName(met).repartition(*cell).sortWithinPartitions(*cell, "role")
 
-    def compare(held: list[tuple], waiting: list[tuple]) -> list[tuple[bytes, bytes]]:
+    def compare(held: list[tuple], waiting: list[tuple]) -> list[tuple[int, int]]:
         """Pairs of an outside row with a met one of another component; of two outside rows, once."""
-        left, right = [], []
-        for i, (a, root, _) in enumerate(held):
-            for j, (b, other, _, role) in enumerate(waiting):
-                if root != other and (role == 2 or a < b):
-                    left.append(i)
-                    right.append(j)
-        if not left:
+        if not held or not waiting:
             return []
-        x, y = (np.stack([np.frombuffer(r[2], "<u4") for r in side]) for side in (held, waiting))
-        i, j = np.array(left), np.array(right)
-        keep = np.flatnonzero(_plausible(x[i], y[j], percent))
-        return [(min(p), max(p)) for p in ((held[i[k]][0], waiting[j[k]][0]) for k in keep)]
+        (a, a_root, _), (b, b_root, role) = (tuple(np.array([r[k] for r in side]) for k in (0, 1, 3)) for side in (held, waiting))
+        i, j = np.nonzero((a_root[:, None] != b_root) & ((role == 2) | (a[:, None] < b)))
+        x, y = (np.stack([np.frombuffer(r[2], SIGNED) for r in side]) for side in (held, waiting))
+        keep = _plausible(x, y, i, j, percent)
+        return [*zip(np.minimum(a[i[keep]], b[j[keep]]).tolist(), np.maximum(a[i[keep]], b[j[keep]]).tolist())]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, waiting = None, [], []
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
+            found: list[tuple[int, int]] = []
             for key, block, part, node, root, sig, role in zip(*(batch.column(c).to_pylist() for c in (*cell, "node", "root", "sig", "role"))):
                 if (key, block, part) != at:
                     found += compare(held, waiting)
                     at, held, waiting = (key, block, part), [], []
                 if role == 0:
-                    held.append((node, root, sig))
+                    held.append((node, root, sig, role))
                 else:
                     waiting.append((node, root, sig, role))
                     if len(waiting) >= 256:
                         found += compare(held, waiting)
                         waiting = []
-            yield packed(found)
-        yield packed(compare(held, waiting))
-
-    def packed(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"])
+            yield _pairs(found)
+        yield _pairs(compare(held, waiting))
 
-    return dealt.mapInArrow(make, "a binary, b binary").distinct()
+    return dealt.mapInArrow(make, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,22 +336,22 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, id_
     """
     bands = bands_for(percent)
     n = -(-bands * ROWS // BATCH) * BATCH
-    features = cut(_features(documents, id_col, text_col, words, n))
-    nodes = cut(features.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")))
-    keyed = _bands(nodes, bands)
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("centre")).where(F.col("m") > 1).select("key", "centre")
-    crowded = cut(keyed.join(buckets, "key"))
+    classes = _sets(documents, id_col, text_col, words, n).where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
+    # Once the classes are written, their numbers stay.
+    nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    crowded = _crowded(nodes, bands)
+    wanted = crowded.select("node").distinct().join(nodes.select("node", "digest", "rep"), "node")
+    texts = _texts(documents, wanted, id_col, text_col, words)
     pairs = crowded.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    confirm = (nodes, documents, id_col, text_col, words, percent)
-    links = cut(_confirm(cut(_prune(pairs, nodes, percent)), *confirm))
+    links = cut(_confirm(cut(_prune(pairs, nodes, percent)), texts, words, percent))
     roots = connected_components(links)
-    more = _confirm(cut(_leftover_pairs(crowded, roots, nodes, percent)), *confirm)
+    more = _confirm(cut(_leftover_pairs(crowded, roots, texts, words, percent)), texts, words, percent)
     roots = connected_components(links.unionByName(more))
-    reps = nodes.select("node", "rep")
+    reps = nodes.select("node", "digest", "rep")
     linked = roots.join(reps, "node")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     placed = reps.join(linked.select("node", "root"), "node", "left").join(least, "root", "left")
-    placed = placed.select("node", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    joined = features.select("id", "n_shingles", "node").join(placed, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    placed = placed.select("digest", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"))
+    joined = _sets(documents, id_col, text_col, words).join(placed, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("least"))
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
