@@ -14,7 +14,6 @@ a text's likelihood is the product of its segments' matrices in order.  This is
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -46,23 +45,38 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_class(word: bytes) -> int:
-    """A word's class: short words by themselves, longer ones by their last three bytes."""
-    return zlib.crc32(word[-3:] if len(word) > 3 else word + b" ") % END_CLASS
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-class _Classes(dict):
-    def __missing__(self, word: bytes) -> int:
-        c = word_class(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = c
-        return c
+def _class_of(key):
+    """A class from a key: the upper 12 of 32 bits of a product; for integers and arrays alike."""
+    return (key * 0x9E3779B1 & 0xFFFFFFFF) >> 20
 
 
-@functools.lru_cache(maxsize=1)
-def _classes() -> _Classes:
-    return _Classes({END: END_CLASS})
+def word_class(word: bytes) -> int:
+    """A word's class: words of up to three bytes by themselves, longer ones by their last three bytes."""
+    return _class_of(int.from_bytes(word[-3:], "big") | min(len(word), 4) << 24)
+
+
+def class_sequences(texts: list[str | None]) -> list[np.ndarray]:
+    """The classes of each text's words and end: ``word_class`` of ``words``, found for all texts in one array."""
+    data = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    # Two bytes before the first word, so that the last three bytes of any word exist.
+    buffer = np.frombuffer(b"  " + b" ".join([*data, b""]), np.uint8)
+    space = _SPACE[buffer]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    length = np.minimum(end - start, 4)
+    key = buffer[end - 1].astype(np.int64)
+    key |= np.where(length > 1, buffer[end - 2].astype(np.int64) << 8, 0)
+    key |= np.where(length > 2, buffer[end - 3].astype(np.int64) << 16, 0)
+    classes = _class_of(key | length << 24)
+    limits = np.cumsum([len(d) + 1 for d in data]) + 2
+    owner = np.searchsorted(limits, start, side="right")
+    out = np.full(len(classes) + len(texts), END_CLASS, np.int32)
+    out[np.arange(len(classes)) + owner] = classes
+    return np.split(out, np.cumsum(np.bincount(owner, minlength=len(texts)) + 1)[:-1])
 
 
 class Model:
@@ -75,9 +89,9 @@ class Model:
     def initial() -> Model:
         """States that tend to stay, told apart by a fixed pseudo-random tilt of their emissions."""
         tilt = np.array([[zlib.crc32(b"%d %d" % (s, c)) for c in range(CLASSES)] for s in range(STATES)]) / 2.0**32
-        emit = 0.5 + tilt
-        move = np.full((STATES, STATES), 0.02 / max(STATES - 1, 1))
-        np.fill_diagonal(move, 0.98)
+        emit = 2 + tilt  # a slight tilt: strong ones settle sooner, but in worse places
+        move = np.full((STATES, STATES), 0.05 / max(STATES - 1, 1))
+        np.fill_diagonal(move, 0.95)
         return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
 
     @staticmethod
@@ -115,14 +129,16 @@ class Segments:
         emit = np.vstack([model.emit.T, np.ones(s)])
         out, logs = np.empty((n, s, s)), np.zeros(n)
         for at in range(0, n, LANES):
-            codes = self.codes[at : at + LANES]
-            m = np.where(self.opens[at : at + LANES, None, None], model.start, model.move) * emit[codes[:, 0]][:, None, :]
-            log = np.zeros(len(codes))
+            codes = np.ascontiguousarray(self.codes[at : at + LANES].T)
+            emitted = emit[codes]  # by place in the segment, then segment
+            m = np.where(self.opens[at : at + LANES, None, None], model.start, model.move) * emitted[0][:, None, :]
+            log = np.zeros(codes.shape[1])
             for t in range(1, SEGMENT):
-                live = codes[:, t] >= 0
+                live = codes[t] >= 0
                 if not live.any():
                     break
-                step = (m.reshape(-1, s) @ model.move).reshape(-1, s, s) * emit[codes[:, t]][:, None, :]
+                step = (m.reshape(-1, s) @ model.move).reshape(-1, s, s)
+                step *= emitted[t][:, None, :]
                 if t % 8 == 7:
                     scale = np.where(live, step.max(axis=(1, 2)), 1.0)
                     log += np.log(scale)
@@ -183,39 +199,42 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
     emit = np.vstack([model.emit.T, np.ones(s)])
     starts, moves, emissions = np.zeros(s), np.zeros((s, s)), np.zeros((CLASSES + 1, s))
     for at in range(0, len(segments.codes), LANES):
-        codes, opens = segments.codes[at : at + LANES], segments.opens[at : at + LANES]
-        alphas = np.empty((SEGMENT + 1, len(codes), s))
+        codes, opens = np.ascontiguousarray(segments.codes[at : at + LANES].T), segments.opens[at : at + LANES]
+        emitted, living = emit[codes], codes >= 0
+        full = living.all(1)
+        alphas = np.empty((SEGMENT + 1, codes.shape[1], s))
         alphas[0] = entry[at : at + LANES]
         for t in range(SEGMENT):
-            live = codes[:, t] >= 0
-            ahead = alphas[t] @ model.move
+            a = np.matmul(alphas[t], model.move, out=alphas[t + 1])
             if t == 0:
-                ahead[opens] = model.start
-            a = ahead * emit[codes[:, t]]
+                a[opens] = model.start
+            a *= emitted[t]
             a /= a.sum(1, keepdims=True)
-            alphas[t + 1] = a if live.all() else np.where(live[:, None], a, alphas[t])
+            if not full[t]:
+                alphas[t + 1] = np.where(living[t][:, None], a, alphas[t])
         beta = exit_[at : at + LANES].copy()
-        gammas = np.zeros((SEGMENT, len(codes), s))
+        gammas = np.zeros((SEGMENT, codes.shape[1], s))
         for t in range(SEGMENT - 1, -1, -1):
-            live = codes[:, t] >= 0
+            live = living[t]
             if not live.any():
                 continue
-            gamma = alphas[t + 1] * beta
+            gamma = np.multiply(alphas[t + 1], beta, out=gammas[t])
             gamma /= gamma.sum(1, keepdims=True)
-            gamma[~live] = 0
-            gammas[t] = gamma
-            weighted = beta * emit[codes[:, t]]
+            if not full[t]:
+                gamma[~live] = 0
+            weighted = beta * emitted[t]
+            back = weighted @ model.move.T
             inner = live
             if t == 0:
                 starts += gamma[opens].sum(0)
                 inner = live & ~opens
-            x, y = alphas[t][inner], weighted[inner]
-            mass = np.einsum("ni,ni->n", x @ model.move, y)
-            moves += (x / mass[:, None]).T @ y * model.move
-            back = weighted @ model.move.T
+            # Expected moves: the forward vector times what follows, over the mass of both.
+            mass = (alphas[t] * back).sum(1)
+            share = np.divide(1.0, mass, out=np.zeros_like(mass), where=inner)
+            moves += (alphas[t] * share[:, None]).T @ weighted * model.move
             back /= back.sum(1, keepdims=True)
-            beta = back if live.all() else np.where(live[:, None], back, beta)
-        flat = codes.T.ravel() % (CLASSES + 1)
+            beta = back if full[t] else np.where(live[:, None], back, beta)
+        flat = codes.ravel() % (CLASSES + 1)
         for k in range(s):
             emissions[:, k] += np.bincount(flat, gammas[:, :, k].ravel(), CLASSES + 1)
     return starts, moves, emissions[:CLASSES].T
@@ -243,12 +262,11 @@ def train(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS) ->
     for _ in range(rounds):
 
         def count(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            classes, total = _classes(), np.zeros((CLASSES + STATES + 1, STATES))
+            total = np.zeros((CLASSES + STATES + 1, STATES))
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for a, b in _gathered(texts):
-                    sequences = [np.array([*map(classes.__getitem__, words(t)), END_CLASS], np.int32) for t in texts[a:b]]
-                    starts, moves, emissions = expected_counts(model, sequences)
+                    starts, moves, emissions = expected_counts(model, class_sequences(texts[a:b]))
                     total += np.vstack([emissions.T, moves, starts])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), *(pa.array(total[:, k]) for k in range(STATES))], names=["row", *columns])
 

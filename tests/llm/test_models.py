@@ -60,6 +60,13 @@ def test_expected_counts_are_those_of_plain_forward_backward(model, sequences):
         assert np.allclose(mine, plain, rtol=1e-9, atol=1e-9)
 
 
+def test_class_sequences():
+    texts = ["The ünd  of\tit", None, "", " \n ", "x", "Internationalé ab\x1cc", "Z" * 70_000, "a"]
+    for codes, text in zip(hmm.class_sequences(texts), texts, strict=True):
+        assert codes.tolist() == [*map(hmm.word_class, hmm.words(text)), hmm.END_CLASS]
+    assert hmm.word_class(b"nation") == hmm.word_class(b"ion\x00ion"[-6:]) != hmm.word_class(b"ion")
+
+
 def test_probabilities_sum_to_one(model):
     assert np.isclose(sum(math.exp(hmm.log_likelihoods(model, [np.array([c], np.int32)])[0]) for c in range(hmm.CLASSES)), 1)
 
