@@ -21,7 +21,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     if small:
         found = told.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
-        found = told.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Repeats are left for the small star to remove.
+        return told.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return found.distinct()
 
 

@@ -141,6 +141,15 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), SIGNED).reshape(len(column), -1)
 
 
+def _keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """The bucket (signatures x bands) of every band: a hash of the band's number and values."""
+    parts = sig[:, : bands * ROWS].reshape(-1, bands, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(ROWS):
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+    return key.view(np.int64)
+
+
 def _bands(nodes: DataFrame, bands: int) -> DataFrame:
     """(key, node) for every band of every node."""
 
@@ -148,12 +157,9 @@ def _bands(nodes: DataFrame, bands: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _stacked(batch.column(1))[:, : bands * ROWS].reshape(-1, bands, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
-            for k in range(ROWS):
-                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+            key = _keys(_stacked(batch.column(1)), bands)
             who = np.repeat(np.arange(batch.num_rows), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(who))], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(pa.array(who))], names=["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(make, "key long, node long")
 
@@ -275,7 +281,7 @@ def _longer(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.join(wanted, "node").select("node", "digest", "text").mapInArrow(make, "node long, sig binary").dropDuplicates(["node"])
 
 
-def _leftover_pairs(crowded: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _leftover_pairs(crowded: DataFrame, roots: DataFrame, texts: DataFrame, bands: int, words: int, percent: int) -> DataFrame:
     """Plausible pairs across components in buckets that span several, but for those with the centre."""
     rows = crowded.where(F.col("node") != F.col("centre")).select("key", "node")
     rows = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -291,35 +297,43 @@ def _leftover_pairs(crowded: DataFrame, roots: DataFrame, texts: DataFrame, word
     cell = ["key", "block", "part"]
     dealt = outside.unionByName(met).repartition(*cell).sortWithinPartitions(*cell, "role")
 
-    def compare(held: list[tuple], waiting: list[tuple]) -> list[tuple[int, int]]:
-        """Pairs of an outside row with a met one of another component; of two outside rows, once."""
+    def compare(key: int, held: list[tuple], waiting: list[tuple]) -> list[tuple[int, int]]:
+        """Pairs of an outside row with a met one of another component; of two outside rows, once.
+
+        A pair belongs to the first bucket that it shares.  Should one of the two be the centre there,
+        the pair has been compared already, and no bucket puts it out.
+        """
         if not held or not waiting:
             return []
         (a, a_root, _), (b, b_root, role) = (tuple(np.array([r[k] for r in side]) for k in (0, 1, 3)) for side in (held, waiting))
         i, j = np.nonzero((a_root[:, None] != b_root) & ((role == 2) | (a[:, None] < b)))
         x, y = (np.stack([np.frombuffer(r[2], SIGNED) for r in side]) for side in (held, waiting))
         keep = _plausible(x, y, i, j, percent)
+        if not len(keep):
+            return []
+        x_keys, y_keys = _keys(x, bands)[i[keep]], _keys(y, bands)[j[keep]]
+        keep = keep[np.take_along_axis(x_keys, (x_keys == y_keys).argmax(1)[:, None], 1)[:, 0] == key]
         return [*zip(np.minimum(a[i[keep]], b[j[keep]]).tolist(), np.maximum(a[i[keep]], b[j[keep]]).tolist())]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, waiting = None, [], []
+        at, held, waiting = (None,), [], []
         for batch in batches:
             found: list[tuple[int, int]] = []
             for key, block, part, node, root, sig, role in zip(*(batch.column(c).to_pylist() for c in (*cell, "node", "root", "sig", "role"))):
                 if (key, block, part) != at:
-                    found += compare(held, waiting)
+                    found += compare(at[0], held, waiting)
                     at, held, waiting = (key, block, part), [], []
                 if role == 0:
                     held.append((node, root, sig, role))
                 else:
                     waiting.append((node, root, sig, role))
                     if len(waiting) >= 256:
-                        found += compare(held, waiting)
+                        found += compare(key, held, waiting)
                         waiting = []
             yield _pairs(found)
-        yield _pairs(compare(held, waiting))
+        yield _pairs(compare(at[0], held, waiting))
 
-    return dealt.mapInArrow(make, "a long, b long").distinct()
+    return dealt.mapInArrow(make, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,7 +359,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, id_
     pairs = crowded.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(_confirm(cut(_prune(pairs, nodes, percent)), texts, words, percent))
     roots = connected_components(links)
-    more = _confirm(cut(_leftover_pairs(crowded, roots, texts, words, percent)), texts, words, percent)
+    more = _confirm(cut(_leftover_pairs(crowded, roots, texts, bands, words, percent)), texts, words, percent)
     roots = connected_components(links.unionByName(more))
     reps = nodes.select("node", "digest", "rep")
     linked = roots.join(reps, "node")
