@@ -2,10 +2,10 @@
 
 Equal vectors of a label form a node.  A first neighbour graph comes from small random-projection
 cells; then neighbours of neighbours are joined until few lists change.  Edges of the threshold
-make components.  A node whose whole list lies above the threshold is saturated: its list is too
-short for its links, so it is enlarged to its component, in which all links are counted in tiles of
-bounded size.  An audit compares a bounded sample of nodes with all rows; while it falls short, new
-cells and further rounds follow.
+make components.  As lists are short and the search is a guess, every pair of nodes that lie in
+different components of a label is then compared exactly, in tiles of bounded size; the links found
+join components, in which all links are counted in tiles as well.  An audit of a bounded sample of
+nodes against all rows checks the result.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from loomline.llm.common import cut, runs
 from loomline.llm.components import connected_components
 from loomline.llm.topk import usable
 
-#: Neighbours in a list; nodes of a first cell; nodes of a tile's side.
-LIST, CELL, TILE = 10, 192, 512
-#: First cells drawn for each search, and rounds of refinement after them.
+#: Neighbours in a list; nodes of a first cell; nodes of a tile's side within and across components.
+LIST, CELL, TILE, SIDE = 10, 192, 512, 2048
+#: First cells drawn for the search, and rounds of refinement after them.
 DRAWS, ROUNDS = 3, 6
 #: A round that changes less than this share of all list entries is the last.
 SETTLED = 0.002
-#: Audited nodes, the recall asked of them, and the searches done for it at most.
-AUDITED, RECALL, SEARCHES = 200, 0.98, 3
+#: Audited nodes, and how far above the threshold a link lies that rounding cannot explain away.
+AUDITED, ROUNDING = 200, 1e-9
+#: Spaces above which their sizes are joined by shuffle, not broadcast.
+BROADCAST_SPACES = 2_000
 #: Half-precision products differ from exact ones by less than this.
 MARGIN = 0.004
 
@@ -206,6 +208,32 @@ def _audit(nodes: DataFrame, roots: DataFrame, threshold: float) -> tuple[int, i
     return row[0], row[1], links
 
 
+def _crossing(nodes: DataFrame, roots: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Links between components: of all pairs of nodes of a space, one link for every two components of a tile.
+
+    All pairs are compared in double precision, so the work grows with the square of a space's nodes.
+    """
+    blocks = sizes.where(F.col("n") > 1).select("space", F.expr(f"cast(ceil(n / {SIDE}) AS int)").alias("blocks"))
+    rows = nodes.select("node", "space", "unit").join(roots, "node", "left").join(blocks, "space")
+    rows = rows.withColumn("root", F.coalesce("root", "node")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.select("node", "space", "root", "unit", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("node", "space", "root", "unit", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tile = ["space", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in runs(batches, tile):
+            who, x, own = rows.column("node").to_pylist(), _doubles(rows.column("unit")), rows.column("own").to_numpy()
+            _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            at, to = np.nonzero((x[a] @ x[b].T >= threshold) & (root[a][:, None] != root[b]))
+            at, to = a[at], b[to]
+            low, high = np.minimum(root[at], root[to]), np.maximum(root[at], root[to])
+            _, one = np.unique(low * (len(who) + 1) + high, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array([who[k] for k in side[one]], pa.binary()) for side in (at, to)], names=["u", "v"])
+
+    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, "u binary, v binary")
+
+
 def _counted(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """(node, n): the copies of all other nodes that a node is linked with, within components, by tiles."""
     members = nodes.join(roots, "node").select("node", "root", "copies", "unit")
@@ -242,33 +270,33 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, id_col:
 
     Vectors that are null or zero or hold null, NaN or infinite components link with nothing, and so
     do rows with a null label or id and vectors of another length.  Repeated rows and copies are linked
-    with each other.  A search may miss links between components, of which the audit finds fewer
-    than 1 - ``RECALL`` or tries again, ``SEARCHES`` times in all; links within a component are all
-    counted, and no pair is linked wrongly.  An empty table gives an empty result.
+    with each other.  No link is missed and none is wrong: what the search does not find is found by
+    comparing all pairs across components.  An empty table gives an empty result.
     """
     id_type = vectors.schema[id_col].dataType.simpleString()
     nodes = cut(_packed(_nodes(vectors, id_col, vector_col, label_col)))
-    size = nodes.groupBy("space").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest"), F.coalesce(F.sum("count"), F.lit(0)).alias("all")).first()
+    sizes = cut(nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n")))
+    size = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("spaces")).first()
     bits = max(1, math.ceil(math.log2(max(size["largest"], 2) / CELL)))
-    lists, links = None, None
-    for search in range(SEARCHES):
-        for draw in range(DRAWS):
-            first = _first_lists(nodes, search * DRAWS + draw, bits).withColumn("fresh", F.lit(1))
-            lists = first if lists is None else lists.unionByName(first)
-        lists = cut(_shortened(lists))
-        for _ in range(ROUNDS):
-            lists = cut(_refined(lists, nodes))
-            changed = lists.where(F.col("fresh") == 1).count()
-            if changed <= SETTLED * LIST * size["all"]:
-                break
-        found = _exact(lists.where(F.col("sim") >= threshold - MARGIN), nodes, threshold)
-        links = cut(found if links is None else found.unionByName(links).distinct())
-        roots = connected_components(links)
-        true, known, audited = _audit(nodes, roots, threshold)
-        if known >= RECALL * true:
+    lists = None
+    for draw in range(DRAWS):
+        first = _first_lists(nodes, draw, bits).withColumn("fresh", F.lit(1))
+        lists = first if lists is None else lists.unionByName(first)
+    lists = cut(_shortened(lists))
+    for _ in range(ROUNDS):
+        lists = cut(_refined(lists, nodes))
+        changed = lists.where(F.col("fresh") == 1).count()
+        if changed <= SETTLED * LIST * size["all"]:
             break
-        links = cut(links.unionByName(audited).distinct())
-        roots = connected_components(links)
+    links = cut(_exact(lists.where(F.col("sim") >= threshold - MARGIN), nodes, threshold))
+    roots = connected_components(links)
+    few = F.broadcast if size["spaces"] <= BROADCAST_SPACES else (lambda frame: frame)
+    crossing = cut(_crossing(nodes, roots, few(sizes), threshold))
+    if not crossing.isEmpty():
+        roots = connected_components(links.unionByName(crossing))
+    true, known, _ = _audit(nodes, roots, threshold + ROUNDING)
+    if known < true:
+        raise RuntimeError(f"{true - known} of {true} audited links lie between components")
     counts = _counted(nodes, roots, threshold)
     linked = roots.join(nodes.select("node", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))

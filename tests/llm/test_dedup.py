@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -167,6 +168,34 @@ def test_op8(spark):
     assert embedding_dedup.near_duplicate_vectors(frame.limit(0)).collect() == []
 
 
+def at_cosine(rng, x, cosine):
+    """A unit vector at this cosine to the unit vector x."""
+    y = rng.normal(size=len(x))
+    y -= (y @ x) * x
+    return cosine * x + math.sqrt(1 - cosine * cosine) * y / np.linalg.norm(y)
+
+
+def test_op8_isolated_pairs_beside_a_hot_family(spark):
+    # The family fills an audit of links; the pairs lie in one large label that random cells divide.
+    rng = np.random.default_rng(11)
+    common = rng.normal(size=64)
+    rows, pairs = [], 400
+    for i in range(pairs):
+        x = rng.normal(size=64) + common
+        x /= np.linalg.norm(x)
+        rows += [(2 * i, x.tolist(), 1), (2 * i + 1, at_cosine(rng, x, 0.94).tolist(), 1)]
+    centre = rng.normal(size=64)
+    rows += [(10_000 + i, (centre + 0.05 * rng.normal(size=64)).tolist(), 1) for i in range(1500)]
+    rows += [(20_000 + i, (rng.normal(size=64) + common).tolist(), 1) for i in range(2200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(frame).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93).sum(1) - 1
+    assert [got[r[0]].n_links for r in rows] == links.tolist()
+    assert all(got[2 * i + 1].component_id == got[2 * i].component_id for i in range(pairs))
+
+
 def test_op8_null_ids(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], VECTORS)
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicate_vectors(frame).collect()}
