@@ -196,6 +196,20 @@ def test_op8_isolated_pairs_beside_a_hot_family(spark):
     assert all(got[2 * i + 1].component_id == got[2 * i].component_id for i in range(pairs))
 
 
+def test_op8_families_with_full_lists(spark):
+    # Every node has more than a list's length of nearer neighbours in its own family; few links cross.
+    rng = np.random.default_rng(12)
+    centre = np.eye(64)[0]
+    other = at_cosine(rng, centre, 0.92)
+    x = np.concatenate([c + 0.015 * rng.normal(size=(500, 64)) for c in (centre, other)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.93
+    assert 0 < linked[:500, 500:].sum() < 0.02 * linked.sum()
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sorted(embedding_dedup.near_duplicate_vectors(frame).collect(), key=lambda r: r.vec_id)
+    assert [r.n_links for r in got] == (linked.sum(1) - 1).tolist() and {r.component_id for r in got} == {0}
+
+
 def test_op8_null_ids(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], VECTORS)
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicate_vectors(frame).collect()}
