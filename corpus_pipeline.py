@@ -40,14 +40,14 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     rows, name = _numbered(docs)
     id_col, text_col = name["doc_id"], name["text"]
-    marked = cut(near_dedup.near_duplicates(rows, percent=80, words=5, id_col=id_col, text_col=text_col))
-    gone = marked.where(~F.col("kept")).select(F.col(id_col).alias("gone")).distinct()
-    # Rows that repeat an id are kept or dropped together: of equal ones, one stays.
-    repeated = cut(marked.where("kept").groupBy(F.col(id_col).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"))
-    kept = rows.join(gone, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
-    if not repeated.isEmpty():
-        same = F.col(id_col).eqNullSafe(F.col("again"))
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+    # Rows are told apart by a key of their own, as ids may be null or repeated; once written, keys stay.
+    keyed = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    marked = near_dedup.near_duplicates(keyed, percent=80, words=5, id_col="row", text_col=text_col).select(F.col("row").alias("marked"), "component_id")
+    # Of each component the row with the least id stays; rows without an id come last, ties go by key.
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("row"))
+    placed = keyed.select("row", id_col).join(marked, F.col("row") == F.col("marked"))
+    stays = cut(placed.groupBy("component_id").agg(F.min_by("row", order).alias("stays")).select("stays"))
+    kept = keyed.join(stays, F.col("row") == F.col("stays"), "left_semi").drop("row")
     return kept.toDF(*docs.columns)
 
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from loomline.llm import langid, near_dedup
-from tests.llm.conftest import CLASHES
+from tests.llm.conftest import CLASHES, SCHEMA, passage
 from tests.llm.test_dedup import plain_groups
 from tests.llm.test_maps import plain_spans
 
@@ -59,6 +59,18 @@ def test_odd_rows(spark, odd, empty, tmp_path):
         assert docs.count() == (7 if name == "odd" else 0)
 
 
+def test_dedup_decides_by_row(spark):
+    copy = passage(21) + " more"
+    rows = [
+        (1, passage(21)), (None, copy), (None, passage(22)), (None, passage(23)), (None, passage(23) + " more"),
+        (7, passage(21)), (7, passage(24)), (8, passage(25)), (8, passage(25) + " more"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.minhash_dedup(spark, docs, "").collect()]
+    assert len(kept) == 5 and {(1, passage(21)), (None, passage(22)), (7, passage(24))} < {*kept}
+    assert sum(t.startswith(passage(23)) for _, t in kept) == sum(t.startswith(passage(25)) for _, t in kept) == 1
+
+
 def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(str, rows)) == sorted(map(str, stages[-1]))
