@@ -11,7 +11,8 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, langid, mixing, near_dedup, secrets
@@ -27,6 +28,26 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def _placed(docs: DataFrame, column: str) -> DataFrame:
+    """The same rows with each one's place in the order in which its files were written, whatever order they are read in.
+
+    The place comes from the number in a part file's name and the row's place in that file; rows that are not
+    read from files are numbered as they come.
+    """
+    try:
+        files = docs.metadataColumn("_metadata")
+        rows = docs.select("*", files["file_path"].alias(f"{column}_file"), files["row_index"].alias(f"{column}_row"))
+    except AnalysisException:
+        return cut(docs.withColumn(column, F.monotonically_increasing_id()))
+    path = F.col(f"{column}_file")
+    counts = rows.groupBy(path).agg((F.max(f"{column}_row") + 1).alias("n"))
+    number = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number, path).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(path.alias(f"{column}_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{column}_start"))
+    joined = rows.join(F.broadcast(starts), path == F.col(f"{column}_of"))
+    return joined.select(*docs.columns, (F.col(f"{column}_start") + F.col(f"{column}_row")).alias(column))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus itself labels; those without letters or far from all go."""
     rows, name = _numbered(docs)
@@ -62,7 +83,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in an order whose every stretch holds the sources in their target weights."""
+    """All documents, in an order whose every stretch holds the sources in their target weights.
+
+    Files are written in that order; ``bpe_encode`` turns it into the column ``position``.
+    """
     rows, name = _numbered(docs)
     mixed = mixing.mix_sources(rows, id_col=name["doc_id"], source_col=name["source"], keep=tuple(c for c in name.values() if c not in (name["doc_id"], name["source"])))
     mixed = mixed.withColumnRenamed("source", name["source"])
@@ -70,10 +94,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and digests of them and of what they decode to."""
+    """The token ids of every document, digests of them and of what they decode to, and its place in the mix."""
     rows, name = _numbered(docs)
-    coded = bpe.encode_and_decode(rows, public_tokenizers.path("word_bpe_49k.json"), name["doc_id"], name["text"])
-    return coded.select(F.col(name["doc_id"]).alias("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    rows = _placed(rows, "place").withColumn("key", F.struct(F.col(name["doc_id"]).alias("doc_id"), F.col("place").alias("position")))
+    coded = bpe.encode_and_decode(rows, public_tokenizers.path("word_bpe_49k.json"), "key", name["text"])
+    return coded.select("key.doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "key.position")
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomline.llm import langid, near_dedup
+from loomline.llm import langid, mixing, near_dedup
 from tests.llm.conftest import CLASHES, SCHEMA, passage
 from tests.llm.test_dedup import plain_groups
 from tests.llm.test_maps import plain_spans
@@ -71,6 +72,24 @@ def test_dedup_decides_by_row(spark):
     assert sum(t.startswith(passage(23)) for _, t in kept) == sum(t.startswith(passage(25)) for _, t in kept) == 1
 
 
+def test_mix_is_kept_over_several_files(spark, monkeypatch, tmp_path):
+    plain = mixing.mix_sources
+    docs = spark.createDataFrame([(i, passage(i), "en", "ab"[i % 2], 1) for i in range(200)], SCHEMA)
+    places = []
+    for turn, targets in enumerate(({"a": 1, "b": 1}, {"a": 9, "b": 1})):
+        monkeypatch.setattr(mixing, "mix_sources", functools.partial(plain, targets=targets))
+        mixed = corpus_pipeline.mix_sources(spark, docs, "")
+        mixed.write.option("maxRecordsPerFile", 23).parquet(f"{tmp_path}/{turn}")
+        files = spark.read.parquet(f"{tmp_path}/{turn}")
+        assert len(files.inputFiles()) > 5
+        coded = corpus_pipeline.bpe_encode(spark, files, "")
+        place = {r.position: r.doc_id for r in coded.collect()}
+        line = [r.doc_id for r in plain(docs, targets=targets).orderBy("position").collect()]
+        assert [place[i] for i in range(200)] == line
+        places.append(place)
+    assert places[0] != places[1]
+
+
 def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(str, rows)) == sorted(map(str, stages[-1]))
