@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from loomline.llm import bpe, langid, mixing, near_dedup, secrets
 from loomline.llm.common import cut, ensure_checkpoint_dir, table
 
-#: Below this score a text is far from every learned language.  Short clean texts score 0.4 and more.
-LEAST_SCORE = 0.2
+#: A text below this score is far from its language, but only if it also scores less than ``USUAL`` times what is
+#: usual there: clean texts in alphabets score 0.4 and more, those in scripts of thousands of characters under 0.2.
+LEAST_SCORE, USUAL = 0.2, 0.5
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -49,12 +50,24 @@ def _placed(docs: DataFrame, column: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the corpus itself labels; those without letters or far from all go."""
+    """Documents in one of the languages that the corpus itself labels; those without letters or far from all go.
+
+    What is usual is the median score of a language's labelled texts of like length (its octave), or the lowest of
+    these medians where there is no text of that length.  Without any labels nothing is known, and all documents stay.
+    """
     rows, name = _numbered(docs)
-    profiles = langid.Profiles(langid.learn(rows, name["text"], name["lang"]))
-    found = langid.identify(rows, profiles, name["text"], keep=tuple(name.values()))
-    accepted = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(accepted).select(*name.values()).toDF(*docs.columns)
+    learned = langid.learn(rows, name["text"], name["lang"])
+    if not learned:
+        return docs
+    found = langid.identify(rows, langid.Profiles(learned), name["text"], keep=tuple(name.values())).where(F.col("lang_pred") != langid.UNKNOWN)
+    found = cut(found.withColumn("octave", F.floor(F.log2(F.char_length(name["text"]).cast("double")))))
+    own = found.where(F.col(name["lang"]) == F.col("lang_pred"))
+    medians = cut(own.groupBy(F.col("lang_pred").alias("lang"), F.col("octave").alias("long")).agg(F.percentile_approx("score", 0.5).alias("median")))
+    lowest = medians.groupBy(F.col("lang").alias("low_lang")).agg(F.min("median").alias("lowest"))
+    scored = found.join(F.broadcast(medians), (F.col("lang_pred") == F.col("lang")) & (F.col("octave") == F.col("long")), "left")
+    scored = scored.join(F.broadcast(lowest), F.col("lang_pred") == F.col("low_lang"), "left")
+    usual = F.coalesce("median", "lowest", F.lit(0.0))
+    return scored.where(F.col("score") >= F.least(F.lit(LEAST_SCORE), USUAL * usual)).select(*name.values()).toDF(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -60,6 +62,20 @@ def test_odd_rows(spark, odd, empty, tmp_path):
         assert docs.count() == (7 if name == "odd" else 0)
 
 
+def test_large_scripts_are_kept(spark):
+    # 3,500 characters by a flat law of frequency: most pairs of a clean text are in no profile of 300.
+    rng = np.random.default_rng(5)
+    weights = 1 / (np.arange(3500) + 20)
+    weights /= weights.sum()
+    texts = ["".join(chr(0x4E00 + c) for c in rng.choice(3500, 150, p=weights)) for _ in range(400)]
+    profiles = langid.Profiles(langid.learn(spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string")))
+    assert np.mean([score < corpus_pipeline.LEAST_SCORE for _, score in profiles.predict(texts)]) > 0.5
+    docs = spark.createDataFrame([(i, t, "zh", "a", 150) for i, t in enumerate(texts)] + [(-1, "#!1", "zh", "a", 3)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [*range(400)]
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, "").count() == 401
+
+
 def test_dedup_decides_by_row(spark):
     copy = passage(21) + " more"
     rows = [
