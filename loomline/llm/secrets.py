@@ -44,6 +44,8 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
     Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", ""),
+    # The whole key: header fields such as DEK-Info, base64 with line ends (or their escapes), END line.
+    Rule("pem_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"(\x0d?\x0a[A-Z][A-Za-z-]*:[\x20-\x7e]*)*[A-Za-z0-9+/=\x5c\x09\x0a\x0d\x20]*-----END ([A-Z]+ )*PRIVATE KEY-----"),
 )
 
 
