@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: N-grams in a profile.
 SIZE = 300
-#: Languages kept, those with the most n-grams; bounds what is sent to every task.
-LANGUAGES = 500
+#: Languages whose profiles form one table of ranks.
+LANGUAGES = 128
 #: Texts and characters that are worked on together.
 TEXTS, CHARACTERS = 2048, 2_000_000
 #: An n-gram packs three code points of 21 bits, blank 0 before the first and none as 0 behind.
@@ -84,7 +84,7 @@ def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """(language, n-gram, rank) of every language's profile, from all rows with a text and language.
 
     Counts of all n-grams are summed over all rows; ranks go by count, ties by n-gram.  What comes to
-    the driver is at most ``LANGUAGES * size`` rows.
+    the driver is at most ``size`` rows for each language; every language is kept.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +103,24 @@ def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = documents.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
     grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    large = ranked.groupBy("lang").agg(F.max("n").alias("most")).orderBy(F.desc("most"), "lang").limit(LANGUAGES)
-    kept = ranked.join(F.broadcast(large), "lang").select("lang", "gram", "rank")
-    return sorted((r["lang"], r["gram"], r["rank"] - 1) for r in kept.collect())
+    return sorted((r["lang"], r["gram"], r["rank"] - 1) for r in ranked.select("lang", "gram", "rank").collect())
 
 
 class Profiles:
-    """All profiles as one table: known n-grams in order, and each one's rank in every language."""
+    """Profiles as a table for each block of languages: known n-grams in order, and each one's rank in every language."""
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int = SIZE):
         self.size, self.languages = size, sorted({lang for lang, _, _ in rows})
-        self.grams = np.array(sorted({gram for _, gram, _ in rows}), np.int64)
-        self.ranks = np.full((len(self.grams) + 1, len(self.languages)), -1, np.int64)
-        for lang, gram, rank in rows:
-            self.ranks[np.searchsorted(self.grams, gram), self.languages.index(lang)] = rank
+        number = {lang: k for k, lang in enumerate(self.languages)}
+        who = np.array([number[lang] for lang, _, _ in rows], np.int64)
+        gram, rank = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        for start in range(0, len(self.languages), LANGUAGES):
+            own = (who >= start) & (who < start + LANGUAGES)
+            grams = np.unique(gram[own])
+            ranks = np.full((len(grams) + 1, min(LANGUAGES, len(self.languages) - start)), -1, np.int32)
+            ranks[np.searchsorted(grams, gram[own]), who[own] - start] = rank[own]
+            self.blocks.append((grams, ranks))
 
     def _distances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Out-of-place distance of each text to each language, and how many n-grams it was taken over."""
@@ -126,12 +130,13 @@ class Profiles:
         rank = np.arange(len(who)) - np.searchsorted(who, np.arange(len(texts)))[who]
         top = rank < self.size
         who, gram, rank = who[top], gram[top], rank[top]
-        at = np.minimum(np.searchsorted(self.grams, gram), max(len(self.grams) - 1, 0))
-        row = np.where(self.grams[at] == gram, at, len(self.grams)) if len(self.grams) else np.zeros_like(who)
         out = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            own = self.ranks[row, k]
-            out[:, k] = np.bincount(who, np.where(own >= 0, np.abs(own - rank), self.size), len(texts))
+        for block, (grams, ranks) in enumerate(self.blocks):
+            at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+            row = np.where(grams[at] == gram, at, len(grams))
+            for k in range(ranks.shape[1]):
+                own = ranks[row, k]
+                out[:, block * LANGUAGES + k] = np.bincount(who, np.where(own >= 0, np.abs(own - rank), self.size), len(texts))
         return out, np.bincount(who, minlength=len(texts))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -144,6 +144,13 @@ def test_whole_private_keys_are_redacted(spark):
     assert [r.text for r in secrets.redact(frame).collect()] == ["é [secret] and [secret] end", "[secret]", "[secret] alone"]
 
 
+def test_every_language_is_learned(spark):
+    # Language i has a letter of its own; later ones have fewer texts.
+    rows = [(chr(0x4E00 + i) * 4, f"l{i:03}") for i in range(520)]
+    profiles = langid.Profiles(langid.learn(spark.createDataFrame(rows, "text string, lang string")))
+    assert [lang for lang, _ in profiles.predict([t for t, _ in rows])] == [lang for _, lang in rows]
+
+
 def test_hilbert_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
     index = sharding.hilbert_index(grid, 3)
