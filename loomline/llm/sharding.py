@@ -96,15 +96,22 @@ def shard_documents(
         values.append(F.col(f"__q{i}"))
     placed = cut(base.select("*", _curve(values, bits).alias("hilbert")))
     total = placed.count()
-    # Groups for ranking: the cell, a part of the checksum, and a part of the id for texts with many copies.
+    # Groups for ranking: the cell, a part of the checksum, and for a checksum of many copies itself and a part of the id.
     fine = max(1, -(-total // GROUP_ROWS))
-    grouped = placed.select("*", (F.col("text_crc32") % 64).alias("__a"), F.pmod(F.xxhash64("__id"), F.lit(fine)).alias("__b"))
-    keys = ["hilbert", "__a", "__b"]
+    grouped = placed.select("*", (F.col("text_crc32") % (64 * fine)).alias("__a"))
+    if fine > 1:
+        copies = placed.groupBy(F.col("hilbert").alias("__ch"), F.col("text_crc32").alias("__cc")).agg(F.expr(f"ceil(count(1) / {GROUP_ROWS})").alias("__parts"))
+        copies = F.broadcast(copies.where("__parts > 1"))
+        grouped = grouped.join(copies, (F.col("hilbert") == F.col("__ch")) & (F.col("text_crc32") == F.col("__cc")), "left")
+        grouped = grouped.withColumn("__c", F.coalesce("__cc", F.lit(-1))).withColumn("__b", F.pmod(F.xxhash64("__id"), F.coalesce("__parts", F.lit(1)))).drop("__ch", "__cc", "__parts")
+    else:
+        grouped = grouped.withColumn("__c", F.lit(-1).cast("long")).withColumn("__b", F.lit(0).cast("long"))
+    keys = ["hilbert", "__a", "__c", "__b"]
     groups = grouped.groupBy(keys).agg(F.count(F.lit(1)).alias("__m"))
     per_cell = groups.groupBy("hilbert").agg(F.sum("__m").alias("__m"))
     before = (Window.unboundedPreceding, -1)
     cell_offsets = per_cell.select(F.col("hilbert").alias("__h"), F.coalesce(F.sum("__m").over(Window.orderBy("hilbert").rowsBetween(*before)), F.lit(0)).alias("__cell"))
-    in_cell = F.coalesce(F.sum("__m").over(Window.partitionBy("hilbert").orderBy("__a", "__b").rowsBetween(*before)), F.lit(0)).alias("__group")
+    in_cell = F.coalesce(F.sum("__m").over(Window.partitionBy("hilbert").orderBy("__a", "__c", "__b").rowsBetween(*before)), F.lit(0)).alias("__group")
     offsets = groups.select(*keys, in_cell).join(F.broadcast(cell_offsets), F.col("hilbert") == F.col("__h")).select(*keys, (F.col("__cell") + F.col("__group")).alias("__offset"))
     within = Window.partitionBy(*keys).orderBy("text_crc32", "__id", "size")
     ranked = grouped.select("*", F.row_number().over(within).alias("__r")).join(offsets, keys).select("*", (F.col("__offset") + F.col("__r") - 1).alias("__rank"))
