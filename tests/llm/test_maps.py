@@ -153,7 +153,7 @@ def test_every_language_is_learned(spark):
 
 def test_copies_stay_together_in_many_groups(spark, monkeypatch):
     monkeypatch.setattr(sharding, "GROUP_ROWS", 10)
-    frame = spark.createDataFrame([(i, f"text {i % 40 if i % 2 else 0:03}", "en", "a") for i in range(600)], "doc_id long, text string, lang string, source string")
+    frame = spark.createDataFrame([(i, f"text {i % 200 if i % 2 else 0:03}", "en", "a") for i in range(600)], "doc_id long, text string, lang string, source string")
     rows = sorted(sharding.shard_documents(frame).collect(), key=lambda r: (r.shard, r.slot))
     line = [(r.hilbert, r.text_crc32) for r in rows]
     assert sorted(r.doc_id for r in rows) == [*range(600)] and sum(a != b for a, b in zip(line, line[1:])) == len({*line}) - 1
