@@ -33,6 +33,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan with fewer splits than there are cores, dealt out evenly; a larger scan as it is.
+
+    For maps whose work on a row is many times the cost of moving it; rows go in turn, not by a key.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(4 * cores)
+
+
 def per_batch(frame: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``make`` to every Arrow batch; batches are bounded in rows by Spark's Arrow settings."""
 

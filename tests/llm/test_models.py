@@ -10,14 +10,24 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomline.llm import hmm, oracles, queries, topk  # noqa: F401
+from loomline.llm import hmm, topk
+from loomline.llm.common import held_out
 from tests.llm.conftest import ODD
 
 
+CLASSES = (1 << hmm.BITS) + 1
+
+
+@pytest.fixture(params=[hmm.LONG, 100, 0], ids=["lanes", "both", "segments"])
+def long(request, monkeypatch):
+    """Sequences above this go by segments."""
+    monkeypatch.setattr(hmm, "LONG", request.param)
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(5)
-    return hmm.Model.from_counts(rng.random(4) * 9, rng.random((4, 4)) * 9, rng.random((4, hmm.CLASSES)) * 9)
+    return hmm.Model.from_counts(rng.random(4) * 9, rng.random((4, 4)) * 9, rng.random((4, CLASSES)) * 9)
 
 
 @pytest.fixture(scope="module")
@@ -34,12 +44,12 @@ def forward(model, codes):
     return log + math.log(a.sum())
 
 
-def test_likelihood_is_that_of_the_plain_recursion(model, sequences):
+def test_likelihood_is_that_of_the_plain_recursion(model, sequences, long):
     assert np.allclose(hmm.log_likelihoods(model, sequences), [forward(model, s) for s in sequences], rtol=1e-12)
 
 
-def test_expected_counts_are_those_of_plain_forward_backward(model, sequences):
-    starts, moves, emissions = np.zeros(4), np.zeros((4, 4)), np.zeros((4, hmm.CLASSES))
+def test_expected_counts_are_those_of_plain_forward_backward(model, sequences, long):
+    starts, moves, emissions = np.zeros(4), np.zeros((4, 4)), np.zeros((4, CLASSES))
     for codes in sequences:
         n = len(codes)
         a, b = np.zeros((n, 4)), np.ones((n, 4))
@@ -63,20 +73,22 @@ def test_expected_counts_are_those_of_plain_forward_backward(model, sequences):
 def test_class_sequences():
     texts = ["The ünd  of\tit", None, "", " \n ", "x", "Internationalé ab\x1cc", "Z" * 70_000, "a"]
     for codes, text in zip(hmm.class_sequences(texts), texts, strict=True):
-        assert codes.tolist() == [*map(hmm.word_class, hmm.words(text)), hmm.END_CLASS]
-    assert hmm.word_class(b"nation") == hmm.word_class(b"ion\x00ion"[-6:]) != hmm.word_class(b"ion")
+        assert codes.tolist() == [*map(hmm.word_class, hmm.words(text)), CLASSES - 1]
+    assert hmm.word_class(b"nation") == hmm.word_class(b"ration") != hmm.word_class(b"ion")
 
 
 def test_probabilities_sum_to_one(model):
-    assert np.isclose(sum(math.exp(hmm.log_likelihoods(model, [np.array([c], np.int32)])[0]) for c in range(hmm.CLASSES)), 1)
+    assert np.isclose(sum(math.exp(hmm.log_likelihoods(model, [np.array([c], np.int32)])[0]) for c in range(CLASSES)), 1)
 
 
 def tokens(text):
     return re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
 
-def check_scores(frame):
+def check_scores(frame, states=hmm.STATES, bits=hmm.BITS):
     docs = frame.select("doc_id", "text").collect()
+    # Baum-Welch itself is compared with plain forward-backward above.
+    trained = hmm.train(frame.where(~held_out("doc_id", 5, 1)), states=states, bits=bits)
     train = [d for d in docs if d.doc_id is None or zlib.crc32(str(d.doc_id).encode()) % 5 != 1]
     c = Counter(w for d in train for w in tokens(d.text))
     n, v = sum(c.values()), len(c)
@@ -84,17 +96,44 @@ def check_scores(frame):
     for d in docs:
         t = tokens(d.text)
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        expected[d.doc_id, d not in train, len(t), sum(c[w] > 0 for w in t), n, round(base, 4)] += 1
-    rows = hmm.score_documents(frame).collect()
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == expected
+        expected[d.doc_id, d not in train, len(t), sum(c[w] > 0 for w in t), n, round(base, 4), round(plain_score(trained, c, t), 4)] += 1
+    rows = hmm.score_documents(frame, states=states, bits=bits).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in rows) == expected
     return rows
 
 
+def plain_score(trained, c, text):
+    """log10 P(text): the model's class probabilities by plain recursion, each word by its share of its class."""
+    kind = lambda w: trained.emit.shape[1] - 1 if w is None else hmm.word_class(w.encode("utf-8", "surrogatepass"), int(math.log2(trained.emit.shape[1])))
+    if id(c) not in plain_score.__dict__:
+        n, v = Counter(), Counter()
+        for w, times in c.items():
+            if times:
+                n[kind(w)] += times
+                v[kind(w)] += 1
+        plain_score.__dict__[id(c)] = n, v, c
+    n, v, _ = plain_score.__dict__[id(c)]
+    codes = [kind(w) for w in text]
+    inside = sum(math.log10((c[w] + 0.5) / (n[k] + 0.5 * (v[k] + 1))) for w, k in zip(text, codes))
+    return forward(trained, codes) / math.log(10) + inside
+
+
 def test_op10(documents):
     rows = [r for r in check_scores(documents) if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.1 * sum(r.n_tokens for r in rows)
 
 
+@pytest.mark.parametrize("head", [hmm.HEAD, 40, 0])
+def test_op10_words_beyond_the_head(documents, head, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", head)
+    check_scores(documents.limit(60), states=3, bits=8)
+
+
+def test_op10_null_ids(spark):
+    rows = [(None, f"the same words w{i % 7} " * (i % 5)) for i in range(300)] + [(3, "x" * 40)] * 50
+    check_scores(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_op10_odd_rows(odd, empty):
     rows = check_scores(odd)
     assert len(rows) == len(ODD) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
