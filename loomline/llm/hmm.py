@@ -23,9 +23,11 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,10 @@ LONGEST_KEY = 32
 END = b"\n"
 ROUNDS = 3
 #: Tokens above which a text is worked on by segments, and tokens of a segment.
-LONG, SEGMENT = 16_384, 64
+LONG, SEGMENT = 4_096, 64
 #: Segments that are worked on in step, and bytes of text gathered for it.
-LANES, GATHERED = 4096, 3_000_000
-REMEMBERED = 400_000
+LANES, GATHERED = 2048, 1_500_000
+REMEMBERED = 250_000
 #: Words whose counts every executor gets; any other word is at most one token in so many.
 HEAD = 65_536
 
@@ -53,9 +55,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _key(word: bytes) -> bytes:
-    """What a word is counted by: itself, or a long one's digest after a byte that no word has."""
-    return word if len(word) <= LONGEST_KEY else END + hashlib.blake2b(word, digest_size=16).digest()
+def _keys(found: list[bytes]) -> list[bytes]:
+    """What words are counted by: themselves, or a long one's digest after a byte that no word has."""
+    if max(map(len, found), default=0) <= LONGEST_KEY:
+        return found
+    return [w if len(w) <= LONGEST_KEY else END + hashlib.blake2b(w, digest_size=16).digest() for w in found]
 
 
 _SPACE = np.zeros(256, bool)
@@ -345,11 +349,11 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
     return total
 
 
-def _gathered(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _gathered(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``GATHERED`` bytes."""
     start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += n
         if size >= GATHERED:
             yield start, i + 1
             start, size = i + 1, 0
@@ -370,9 +374,9 @@ def train(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS, st
         def count(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             total = np.zeros((classes + states + 1, states))
             for batch in batches:
-                texts = batch.column(0).to_pylist()
+                texts = batch.column(0)
                 for a, b in _gathered(texts):
-                    starts, moves, emissions = expected_counts(model, class_sequences(texts[a:b], bits))
+                    starts, moves, emissions = expected_counts(model, class_sequences(texts.slice(a, b - a).to_pylist(), bits))
                     total += np.vstack([emissions.T, moves, starts])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), *(pa.array(total[:, k]) for k in range(states))], names=["row", *columns])
 
@@ -390,28 +394,29 @@ def count_words(documents: DataFrame, bits: int = BITS) -> DataFrame:
     ``documents`` has ``text`` and ``held_out``; rows of one task are counted together before the shuffle.
     """
 
-    def packed(found: Counter[bytes], held: Counter[bytes]) -> pa.RecordBatch:
-        whole = [*(found | held)]
-        classes = np.full(len(whole), 1 << bits, np.int32)
-        inside = [i for i, w in enumerate(whole) if w != END]
-        classes[inside] = _word_classes([whole[i] for i in inside], bits)[1] if inside else 0
-        c = np.fromiter(map(found.__getitem__, whole), np.int64, len(whole))
-        n = c + np.fromiter(map(held.__getitem__, whole), np.int64, len(whole))
-        keys = pa.array([END if w == END else _key(w) for w in whole], pa.binary())
-        return pa.RecordBatch.from_arrays([keys, pa.array(classes), pa.array(c), pa.array(n)], names=["word", "class", "c", "n"])
+    def packed(every: Counter[bytes], held: Counter[bytes]) -> pa.RecordBatch:
+        ends = every.pop(END, 0)
+        whole = [*every]
+        n = np.fromiter(every.values(), np.int64, len(whole))
+        c = n - np.fromiter(map(held.get, whole, repeat(0)), np.int64, len(whole))
+        columns = [pa.array(_keys(whole) + [END], pa.binary()), pa.array(np.append(_word_classes(whole, bits)[1], 1 << bits).astype(np.int32))]
+        columns += [pa.array(np.append(c, ends - held[END])), pa.array(np.append(n, ends))]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "class", "c", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        every: Counter[bytes] = Counter()
         held: Counter[bytes] = Counter()
         for batch in batches:
-            for text, out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
-                own = held if out else found
-                own.update(words(text))
-                own[END] += 1
-                if len(own) > REMEMBERED:
-                    yield packed(found, held)
-                    found, held = Counter(), Counter()
-        yield packed(found, held)
+            for text, out in zip(batch.column("text"), batch.column("held_out").to_pylist()):
+                found = words(text.as_py())
+                found.append(END)
+                every.update(found)
+                if out:
+                    held.update(found)
+                if len(every) > REMEMBERED:
+                    yield packed(every, held)
+                    every, held = Counter(), Counter()
+        yield packed(every, held)
 
     counted = documents.select("text", "held_out").mapInArrow(count, "word binary, class int, c long, n long")
     return counted.groupBy("word", "class").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -459,10 +464,9 @@ def score_documents(
     for row in counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect():
         class_n[row["class"]], class_v[row["class"]] = row["n"], row["v"]
     all_n, all_v = int(class_n.sum()), int(class_v.sum())
-    head = _head(counts)
+    head = _head(counts) | {END: int(class_n[-1])}
     # Each token's score is log10(c + 0.5) less one of these.
     base_less, inside_less = np.log10(all_n + 0.5 * (all_v + 1)), np.log10(class_n + 0.5 * (class_v + 1))
-    end_count = int(class_n[-1])
 
     def look_up(texts: list[str | None]) -> tuple[list, ...]:
         sequences, n = class_sequences(texts, bits), []
@@ -470,30 +474,30 @@ def score_documents(
         for text in texts:
             found = words(text)
             n.append(len(found) + 1)
-            whole += [w if len(w) <= LONGEST_KEY else _key(w) for w in found]
+            whole += _keys(found)
             whole.append(END)
         owner = np.repeat(np.arange(len(texts)), n)
         # -1: not in the head, to be looked up by the join.
-        c = np.fromiter((head.get(w, -1) if w != END else end_count for w in whole), np.float64, len(whole))
+        c = np.fromiter(map(head.get, whole, repeat(-1)), np.float64, len(whole))
         there = c >= 0
         logs = np.bincount(owner, np.where(there, np.log10(np.maximum(c, 0) + 0.5), 0), len(texts))
         known = np.bincount(owner, c > 0, len(texts)).astype(np.int64)
         model_part = log_likelihoods(model, sequences) / np.log(10) - np.bincount(owner, inside_less[np.concatenate(sequences)], len(texts))
         rest: list[dict] = [{} for _ in texts]
-        for i in np.flatnonzero(~there).tolist():
-            own, w = rest[owner[i]], whole[i]
+        at = np.flatnonzero(~there)
+        for i, k in zip(at.tolist(), owner[at].tolist()):
+            own, w = rest[k], whole[i]
             own[w] = own.get(w, 0) + 1
         return n, known.tolist(), logs.tolist(), model_part.tolist(), rest
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _gathered(texts):
-                n, known, logs, model_part, rest = look_up(texts[a:b])
+            for a, b in _gathered(batch.column("text")):
+                part = batch.slice(a, b - a)
+                n, known, logs, model_part, rest = look_up(part.column("text").to_pylist())
                 offsets = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
                 keys = pa.ListArray.from_arrays(offsets, pa.array([w for own in rest for w in own], pa.binary()))
                 times = pa.ListArray.from_arrays(offsets, pa.array([k for own in rest for k in own.values()], pa.int32()))
-                part = batch.slice(a, b - a)
                 columns = [part.column("id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(model_part, pa.float64()), keys, times]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "known", "logs", "model", "words", "times"])
 
