@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def discard(frame: DataFrame) -> None:
+    """Remove the files of a frame made by ``cut`` that nothing reads any more.
+
+    Its rows must not be needed to recompute anything: whatever was made of it has been cut itself.
+    """
+    jvm_rdd = frame._jdf.queryExecution().analyzed().rdd()
+    found = jvm_rdd.getCheckpointFile()
+    if found.isDefined():
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(found.get())
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,20 +73,33 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(crc % folds == fold, F.lit(False))
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """(key, rows) for every run of equal keys in a sorted partition; one run is held at a time."""
-    now, held = None, []
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) for every run of equal keys in a sorted partition; one run is held at a time.
+
+    A run of more than ``most`` rows comes in several parts.
+    """
+    now, held, n = None, [], 0
     for batch in batches:
-        seen = [*zip(*(batch.column(k).to_pylist() for k in keys))]
-        start = 0
-        for i in range(1, len(seen) + 1):
-            if i < len(seen) and seen[i] == seen[start]:
-                continue
-            if held and seen[start] != now:
+        if not batch.num_rows:
+            continue
+        starts = np.zeros(batch.num_rows, bool)
+        starts[0] = True
+        for k in keys:
+            column = batch.column(k)
+            starts[1:] |= np.asarray(pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)), True))
+        edges = [*np.flatnonzero(starts).tolist(), batch.num_rows]
+        for start, stop in zip(edges, edges[1:]):
+            key = tuple(batch.column(k)[start].as_py() for k in keys)
+            if held and key != now:
                 yield now, pa.Table.from_batches(held)
-                held = []
-            now = seen[start]
-            held.append(batch.slice(start, i - start))
-            start = i
+                held, n = [], 0
+            now = key
+            while start < stop:
+                take = stop - start if most is None else min(stop - start, most - n)
+                held.append(batch.slice(start, take))
+                start, n = start + take, n + take
+                if n == most:
+                    yield now, pa.Table.from_batches(held)
+                    held, n = [], 0
     if held:
         yield now, pa.Table.from_batches(held)

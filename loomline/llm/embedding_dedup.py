@@ -1,40 +1,51 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors of a label form a node.  A first neighbour graph comes from small random-projection
-cells; then neighbours of neighbours are joined until few lists change.  Edges of the threshold
-make components.  As lists are short and the search is a guess, every pair of nodes that lie in
-different components of a label is then compared exactly, in tiles of bounded size; the links found
-join components, in which all links are counted in tiles as well.  An audit of a bounded sample of
-nodes against all rows checks the result.
+Equal vectors of a label form a node.  A neighbour graph starts from random-projection cells and is
+refined by neighbours-of-neighbours joins: the nodes that list one node meet each other and that node,
+until hardly any new link is found.  Lists hold neighbours up to twice the threshold's angle, as only
+those can be a common neighbour of two linked nodes' links.  A list that is filled by links is
+enlarged, up to ``LONGEST``; a node with more links than that is *full* and leaves the search.
+
+Full nodes are compared exactly instead: blocks of them are enclosed in balls, every node of the label
+that a ball's angle lets come near is compared with the whole block, and links are counted, not
+listed.  An audit compares a sample of the other nodes with all rows.  Below the asked recall the
+search goes on with twice as many cells, and in the end all nodes are treated as full ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, runs
+from loomline.llm.common import cut, discard, partitions, runs
 from loomline.llm.components import connected_components
 from loomline.llm.topk import usable
 
-#: Neighbours in a list; nodes of a first cell; nodes of a tile's side within and across components.
-LIST, CELL, TILE, SIDE = 10, 192, 512, 2048
-#: First cells drawn for the search, and rounds of refinement after them.
-DRAWS, ROUNDS = 3, 6
-#: A round that changes less than this share of all list entries is the last.
-SETTLED = 0.002
-#: Audited nodes, and how far above the threshold a link lies that rounding cannot explain away.
-AUDITED, ROUNDING = 200, 1e-9
-#: Spaces above which their sizes are joined by shuffle, not broadcast.
-BROADCAST_SPACES = 2_000
-#: Half-precision products differ from exact ones by less than this.
-MARGIN = 0.004
+#: Entries of a list, and of one that links fill.
+LIST, LONGEST = 10, 40
+#: Nodes compared in a cell, those of its neighbour on the curve that it sees again, and members that meet at a node.
+CELL, AGAIN, MEET = 2048, 512, 512
+#: Probability that no draw of cells has a pair at the threshold together, and the most draws of one search.
+MISS, DRAWS = 1e-4, 64
+#: Rounds of refinement at most; one that adds less than this share of all links is the last.
+ROUNDS, SETTLED = 6, 0.002
+#: Full nodes of a block, blocks that a map gets at a time, and nodes of a label for each part of a block's partners.
+BLOCK, BALLS, PARTNERS = 4096, 4096, 65_536
+#: Audited nodes, the recall of their links that is asked for, and searches until all is compared exactly.
+AUDITED, RECALL, SEARCHES = 2000, 0.99, 3
+#: Half-precision products differ from exact ones by less than this; what rounding can explain in an angle or a product.
+MARGIN, ROUNDING = 0.004, 1e-9
+
+log = logging.getLogger(__name__)
+
+LISTS = "u long, half binary, full boolean, vs array<long>, sims array<float>, fresh array<boolean>"
 
 
 def _unit(columns: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -44,41 +55,36 @@ def _unit(columns: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _halves(column) -> np.ndarray:
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), np.float16).reshape(len(data), -1).astype(np.float32)
-
-
-def _doubles(column) -> np.ndarray:
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _stacked(column, kind: type) -> np.ndarray:
+    data = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else column
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1)
 
 
-def _edges(u: list, v: list, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(sim, pa.float32())], names=["u", "v", "sim"])
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    """A batch from columns of Python values, with names and types as in a Spark schema."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "float": pa.float32(), "string": pa.string()}
+    kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
-EDGE = "u binary, v binary, sim float"
-
+def _key():
+    """The digest of a vector and its space."""
+    return F.unhex(F.md5(F.concat_ws(",", F.col("space"), F.transform("v", lambda x: x.cast("string"))).cast("binary")))
 
-def _nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(node, space, rep, copies, unit, half): a row for each distinct vector of a label.
 
-    ``space`` is label and length: only vectors of one space are compared.
-    """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
+def _rows(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(id, space, v, ok): ``space`` is label and length, only vectors of one space are compared; ok: any are."""
     some = F.coalesce(F.exists(F.col(vector_col), lambda x: x != 0), F.lit(False))
-    rows = vectors.where(usable(vector_col) & some & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    named = rows.select(F.col(id_col).alias("id"), v.alias("v"), F.concat_ws("/", F.col(label_col).cast("string"), F.size(vector_col).cast("string")).alias("space"))
-    return named.groupBy("space", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("*", _node().alias("node"))
+    ok = usable(vector_col) & some & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.concat_ws("/", F.col(label_col).cast("string"), F.size(vector_col).cast("string")).alias("space"), v.alias("v"), ok.alias("ok"))
 
 
-def _node():
-    """The digest of a vector and its space."""
-    return F.unhex(F.md5(F.concat_ws(",", F.col("space"), F.transform("v", lambda x: x.cast("string"))).cast("binary")))
-
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(key, space, rep, copies, unit, half, node): a row and a number for each distinct vector of a label."""
+    named = rows.where("ok").groupBy("space", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).select(_key().alias("key"), "space", "rep", "copies", "v")
 
-def _packed(nodes: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit: list[bytes] = [b""] * batch.num_rows
@@ -89,222 +95,384 @@ def _packed(nodes: DataFrame) -> DataFrame:
                 x = _unit(batch.column(4).take(pa.array(at)))
                 for i, row in zip(at, x):
                     unit[i], half[i] = row.tobytes(), row.astype(np.float16).tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(unit, pa.binary()), pa.array(half, pa.binary())], names=["node", "space", "rep", "copies", "unit", "half"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(unit, pa.binary()), pa.array(half, pa.binary())], names=["key", "space", "rep", "copies", "unit", "half"])
 
-    return nodes.select("node", "space", "rep", "copies", "v").mapInArrow(make, "node binary, space string, rep long, copies long, unit binary, half binary")
+    packed = named.mapInArrow(make, "key binary, space string, rep long, copies long, unit binary, half binary")
+    # Once written, numbers stay.
+    return packed.withColumn("node", F.monotonically_increasing_id())
 
 
 def _planes(seed: int, bits: int, size: int) -> np.ndarray:
-    """Normals of pseudo-random hyperplanes, the same on every machine."""
+    """Normals of pseudo-random hyperplanes, the same on every machine, and a direction to order by."""
     seed = int.from_bytes(hashlib.blake2b(b"%d %d" % (seed, size), digest_size=8).digest(), "little")
-    return np.random.default_rng(seed).standard_normal((size, bits))
+    return np.random.default_rng(seed).standard_normal((size, bits + 1))
+
 
+def _entries(sims: np.ndarray, ids: np.ndarray, near: float, floor: float) -> tuple[list[int], list[float], bool] | None:
+    """(ids, similarities, full) of one node's list, from all it was compared with; ties go to the smaller id."""
+    at = np.flatnonzero(sims >= floor)
+    if not len(at):
+        return None
+    links = int((sims[at] >= near).sum())
+    keep = LIST if links > LONGEST else max(LIST, links)
+    if len(at) > keep:
+        at = at[np.lexsort((ids[at], -sims[at]))[:keep]]
+    return ids[at].tolist(), sims[at].tolist(), links > LONGEST
 
-def _first_lists(nodes: DataFrame, seed: int, bits: int) -> DataFrame:
-    """Edges to the nearest of a node's cell: the same sides of random hyperplanes, large cells split."""
+
+def _first_lists(nodes: DataFrame, draws: range, bits: int, near: float, floor: float) -> DataFrame:
+    """Lists from the cells of several draws: nodes on the same sides of random hyperplanes, in the order of a projection.
+
+    Rows are dealt out by ranges of (draw, space, cell, projection), so a cell of any size is spread; each run of
+    ``CELL`` nodes is compared with itself and the last ``AGAIN`` nodes before it.
+    """
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves, code = batch.column(2).to_pylist(), np.zeros(batch.num_rows, np.int64)
+            halves = batch.column(2).to_pylist()
             sizes = np.array([len(h) for h in halves])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join([halves[i] for i in at]), np.float16).reshape(len(at), -1).astype(np.float64)
-                code[at] = (x @ _planes(seed, bits, x.shape[1]) > 0) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=["node", "space", "half", "code"])
-
-    coded = nodes.select("node", "space", "half").mapInArrow(sides, "node binary, space string, half binary, code long")
-    parts = coded.groupBy("space", "code").agg(F.expr(f"cast(ceil(count(1) / {CELL}) AS int)").alias("parts"))
-    dealt = coded.join(parts, ["space", "code"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")))
-    cell = ["space", "code", "part"]
+                x = _stacked([halves[i] for i in at], np.float16).astype(np.float64)
+                part = batch.take(pa.array(at))
+                for draw in draws:
+                    found = x @ _planes(draw, bits, x.shape[1])
+                    code = (found[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(at), np.int64)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(at), draw), pa.int32()), pa.array(code, pa.int64()), pa.array(found[:, bits])], names=["node", "space", "half", "draw", "code", "along"])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, cell):
-            who, x = rows.column("node").to_pylist(), _halves(rows.column("half"))
-            if len(who) < 2:
+        before, ids, x = None, np.empty(0, np.int64), np.empty((0, 0), np.float32)
+        for cell, rows in runs(batches, ["draw", "space", "code"], CELL):
+            halves = rows.column("half").to_pylist()
+            own, y = rows.column("node").to_numpy(), _stacked(halves, np.float16).astype(np.float32)
+            if cell != before:
+                ids, x = own[:0], y[:0]
+            every, z = np.concatenate([ids, own]), np.concatenate([x, y])
+            sims = z @ z.T
+            np.fill_diagonal(sims, -2)
+            out: list[tuple] = []
+            for i in np.flatnonzero(sims.max(1, initial=-2) >= floor).tolist():
+                vs, s, full = _entries(sims[i], every, near, floor)
+                out.append((int(every[i]), z[i].astype(np.float16).tobytes(), full, vs, s, [True] * len(vs)))
+            if out:
+                yield _batch(LISTS, [*zip(*out)])
+            before, ids, x = cell, own[-AGAIN:], y[-AGAIN:]
+
+    order = ["draw", "space", "code", "along"]
+    dealt = nodes.select("node", "space", "half").mapInArrow(sides, "node long, space string, half binary, draw int, code long, along double").repartitionByRange(partitions(nodes.sparkSession), *order)
+    return dealt.sortWithinPartitions(*order).mapInArrow(nearest, LISTS)
+
+
+def _merged(parts: DataFrame, near: float) -> DataFrame:
+    """One list for each node from several; an entry is fresh unless some list had it already."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_runs(batches, "u"):
+            out: list[tuple] = []
+            rows = [*zip(*(batch.column(c).to_pylist() for c in ("u", "half", "full", "vs", "sims", "fresh")))]
+            start = 0
+            for stop in range(1, len(rows) + 1):
+                if stop < len(rows) and rows[stop][0] == rows[start][0]:
+                    continue
+                found: dict[int, tuple[float, bool]] = {}
+                for _, _, _, vs, sims, fresh in rows[start:stop]:
+                    for v, s, f in zip(vs, sims, fresh):
+                        found[v] = (s, f and found.get(v, (0, True))[1])
+                half = next((r[1] for r in rows[start:stop] if r[1] is not None), None)
+                links = sum(s >= near for s, _ in found.values())
+                full = links > LONGEST or any(r[2] for r in rows[start:stop])
+                best = sorted(found.items(), key=lambda e: (-e[1][0], e[0]))[: LIST if full else max(LIST, links)]
+                if half is not None:  # a node that has no list of its own yet is none that another list can lack
+                    out.append((rows[start][0], half, full, [v for v, _ in best], [s for _, (s, _) in best], [f for _, (_, f) in best]))
+                start = stop
+            if out:
+                yield _batch(LISTS, [*zip(*out)])
+
+    return parts.repartition("u").sortWithinPartitions("u").mapInArrow(merge, LISTS)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The same sorted rows in tables that never part rows of one key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(key)[batch.num_rows - 1].as_py()
+        at = int(np.searchsorted(batch.column(key).to_numpy(), last))
+        if at or (held and held[-1].column(key)[0].as_py() != last):
+            held.append(batch.slice(0, at))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+MESSAGES = "centre long, member long, half binary, worst float, fresh boolean"
+
+
+def _refined(lists: DataFrame, near: float, floor: float) -> DataFrame:
+    """One round: the nodes that list a node meet each other and it, where one is new there, and better ones enter lists."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for u, half, vs, sims, fresh in zip(*(batch.column(c).to_pylist() for c in ("u", "half", "vs", "sims", "fresh"))):
+                # What a candidate must reach: any link while links fill the list, else more than the last entry.
+                worst = floor if len(vs) < LIST else min(near, sims[-1])
+                out.append((u, u, half, worst, False))
+                out += [(v, u, half, worst, f) for v, f in zip(vs, fresh)]
+            if out:
+                yield _batch(MESSAGES, [*zip(*out)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, ["centre"], MEET):
+            fresh = np.array(rows.column("fresh").to_pylist(), bool)
+            if len(fresh) < 2 or not fresh.any():
                 continue
+            who, x = rows.column("member").to_numpy(), _stacked(rows.column("half"), np.float16).astype(np.float32)
             sims = x @ x.T
-            np.fill_diagonal(sims, -2)
-            k = min(LIST, len(who) - 1)
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            yield _edges([w for w in who for _ in range(k)], [who[j] for j in near.ravel()], np.take_along_axis(sims, near, 1).ravel())
+            better = (fresh[:, None] | fresh) & (sims >= rows.column("worst").to_numpy()[:, None]) & (who[:, None] != who)
+            out = []
+            for i in np.flatnonzero(better.any(1)).tolist():
+                at = np.flatnonzero(better[i])
+                out.append((int(who[i]), None, False, who[at].tolist(), sims[i, at].tolist(), [True] * len(at)))
+            if out:
+                yield _batch(LISTS, [*zip(*out)])
+
+    met = lists.where(~F.col("full")).mapInArrow(send, MESSAGES).repartition("centre").sortWithinPartitions("centre")
+    return _merged(lists.withColumn("fresh", F.transform("fresh", lambda f: F.lit(False))).unionByName(met.mapInArrow(meet, LISTS)), near)
+
+
+def _search(nodes: DataFrame, lists: DataFrame | None, draws: range, bits: int, near: float, floor: float) -> DataFrame:
+    """The neighbour lists after more draws of cells and rounds of refinement, ``u`` to ``fresh`` as in ``LISTS``."""
+    first = _first_lists(nodes, draws, bits, near, floor)
+    now = cut(_merged(first if lists is None else lists.unionByName(first), near))
+    for _ in range(ROUNDS):
+        before, now = now, cut(_refined(now, near, floor))
+        discard(before)
+        link = F.explode(F.arrays_zip("sims", "fresh")).alias("e")
+        count = now.where(~F.col("full")).select(link).where(F.col("e.sims") >= near).agg(F.count(F.lit(1)).alias("links"), F.count(F.when(F.col("e.fresh"), 1)).alias("fresh")).first()
+        if count["fresh"] <= SETTLED * count["links"]:
+            break
+    return now
 
-    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(nearest, EDGE)
 
+def _exact(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs u < v whose cosine, in double precision, reaches the threshold."""
+    left, right = (nodes.select(F.col("node").alias(side), F.col("unit").alias(f"{side}_unit")) for side in ("u", "v"))
 
-def _shortened(edges: DataFrame) -> DataFrame:
-    """The best ``LIST`` entries of every list; of an entry met twice, the earlier."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LIST).drop("r")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("u_unit").to_pylist(), batch.column("v_unit").to_pylist()
+            keep = np.zeros(len(a), bool)
+            sizes = np.array([len(x) for x in a])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                keep[at] = np.einsum("ij,ij->i", *(_stacked([side[i] for i in at], np.float64) for side in (a, b))) >= threshold
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
 
+    some = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return some.join(right, "v").join(left, "u").mapInArrow(make, "u long, v long")
 
-def _refined(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: neighbours of each node meet each other, where one is new to it, and better ones enter lists.
 
-    A node also counts those that list it, as many as its own list holds, the best first.
-    """
-    back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "fresh")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("fresh"), F.desc("sim"), "v"))).where(F.col("r") <= LIST).drop("r")
-    around = lists.unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-    worst = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) < LIST, F.lit(-2.0)).otherwise(F.min("sim")).cast("float").alias("worst"))
-    known = nodes.select(F.col("node").alias("v"), "half").join(worst.withColumnRenamed("u", "v"), "v", "left")
-    met = around.join(known, "v").select("u", "v", "half", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), "fresh")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, ["u"]):
-            who, x = rows.column("v").to_pylist(), _halves(rows.column("half"))
-            fresh, worst = np.array(rows.column("fresh").to_pylist(), bool), rows.column("worst").to_numpy()
-            sims = x @ x.T
-            better = (fresh[:, None] | fresh[None, :]) & (sims > worst[:, None])
-            np.fill_diagonal(better, False)
-            i, j = np.nonzero(better)
-            if len(i):
-                yield _edges([who[a] for a in i], [who[b] for b in j], sims[i, j])
+COMPARED = "node long, n long, u long, v long, both boolean"
 
-    found = met.repartition("u").sortWithinPartitions("u").mapInArrow(join, EDGE).withColumn("fresh", F.lit(1))
-    return _shortened(lists.withColumn("fresh", F.lit(0)).unionByName(found))
 
+def _compared(nodes: DataFrame, full: DataFrame, roots: DataFrame, spaces: dict[str, int], threshold: float) -> DataFrame:
+    """Full nodes against all nodes that can be linked with them.
 
-def _exact(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The edges whose cosine, in double precision, reaches the threshold."""
-    left, right = (nodes.select(F.col("node").alias(side), F.col("unit").alias(f"{side}_unit")) for side in ("u", "v"))
+    Rows either count (node, n): the copies of other nodes that a full node is linked with; or are links
+    (u, v): of a full node with one that is not, each; of two full nodes, one for every two components of
+    a block's part, which ``both`` marks.
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("u_unit").to_pylist(), batch.column("v_unit").to_pylist())
-            keep = [float(np.dot(np.frombuffer(a, np.float64), np.frombuffer(b, np.float64))) >= threshold for a, b in pairs]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    A block holds full nodes of one component, at most ``BLOCK`` of them.  Its ball is a mean direction and
+    the widest angle to it; a node farther from the mean than that and the threshold's angle together
+    is linked with none of them.  Balls are sent out ``BALLS`` at a time.
+    """
+    members = full.select(F.col("u").alias("node")).distinct().join(nodes.select("node", "space", "copies", "unit"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = members.groupBy("space", "root").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) AS int)").alias("parts"))
+    dealt = members.join(sizes, ["space", "root"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = cut(dealt.select("node", "copies", "unit", "root", "space", "slice"))
+    reach = math.acos(min(threshold, 1.0)) + ROUNDING
+
+    def enclose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (space, root, part), rows in runs(batches, ["space", "root", "slice"]):
+            x = _stacked(rows.column("unit"), np.float64)
+            mean = x.sum(0)
+            mean /= max(np.sqrt(mean @ mean), 1e-300)
+            angle = float(np.arccos(np.clip(x @ mean, -1, 1)).max())
+            yield pa.RecordBatch.from_arrays([pa.array([space]), pa.array([root], pa.int64()), pa.array([part], pa.int32()), pa.array([mean.tobytes()]), pa.array([angle + reach])], names=["space", "root", "slice", "mean", "angle"])
+
+    keys = ["space", "root", "slice"]
+    balls = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(enclose, "space string, root long, slice int, mean binary, angle double").withColumn("ball", F.monotonically_increasing_id()))
+    # Taken in groups of about half of BALLS each, by a hash.
+    groups = max(1, -(-balls.count() // max(1, BALLS // 2)))
+    parts = {space: -(-n // PARTNERS) for space, n in spaces.items() if n > PARTNERS}
+    near = None
+    for group in range(groups):
+        own = balls.where(F.pmod(F.xxhash64("ball"), F.lit(groups)) == group).collect()
+        by_space: dict[str, list] = {}
+        for ball in own:
+            by_space.setdefault(ball["space"], []).append(ball)
+        tables = {
+            space: (np.array([b["ball"] for b in some]), np.stack([np.frombuffer(b["mean"], np.float64) for b in some]), np.cos(np.minimum([b["angle"] for b in some], np.pi)))
+            for space, some in by_space.items()
+        }
+
+        def meet(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                space = np.array(batch.column("space").to_pylist(), object)
+                for name, (ball, mean, least) in tables.items():
+                    at = np.flatnonzero(space == name)
+                    if len(at):
+                        i, j = np.nonzero(_stacked(batch.column("unit").take(pa.array(at)), np.float64) @ mean.T >= least - ROUNDING)
+                        met = batch.take(pa.array(at[i]))
+                        slice_ = pa.array(met.column("node").to_numpy() % parts.get(name, 1), pa.int32())
+                        yield pa.RecordBatch.from_arrays([met.column("node"), met.column("copies"), met.column("unit"), pa.array(ball[j], pa.int64()), slice_], names=["node", "copies", "unit", "ball", "part"])
+
+        some = nodes.select("node", "space", "copies", "unit").mapInArrow(meet, "node long, copies long, unit binary, ball long, part int")
+        near = some if near is None else near.unionByName(some)
+    marks = dealt.select(F.col("node").alias("full_node"))
+    near = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(marks, F.col("node") == F.col("full_node"), "left")
+    near = near.select("ball", "part", "node", "copies", "unit", "root", F.col("full_node").isNotNull().alias("full"), F.lit(1).alias("role"))
+    several = [x for space, k in parts.items() for x in (F.lit(space), F.lit(k))]
+    count = F.coalesce(F.element_at(F.create_map(*several), F.col("space")), F.lit(1)) if several else F.lit(1)
+    part = F.explode(F.sequence(F.lit(0), count - 1))
+    inside = dealt.join(balls.select(*keys, "ball"), keys).select("ball", part.alias("part"), "node", "copies", "unit", "root", F.lit(True).alias("full"), F.lit(0).alias("role"))
+    cell = ["ball", "part"]
 
-    pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return pairs.join(right, "v").join(left, "u").mapInArrow(make, "u binary, v binary")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for key, rows in runs(batches, cell, 1024):
+            if key != at:
+                if at is not None and held:
+                    yield counted(who, n)
+                at, held = key, []
+            role = rows.column("role").to_numpy()
+            inner, outer = rows.filter(pa.array(role == 0)), rows.filter(pa.array(role == 1))
+            if inner.num_rows:
+                held.append(inner)
+                table = pa.concat_tables(held)
+                who, x, root = table.column("node").to_numpy(), _stacked(table.column("unit"), np.float64), table.column("root").to_numpy()
+                n = np.zeros(len(who), np.int64)
+            if not outer.num_rows or not held:
+                continue
+            other, y = outer.column("node").to_numpy(), _stacked(outer.column("unit"), np.float64)
+            linked = (x @ y.T >= threshold) & (who[:, None] != other)
+            n += linked @ outer.column("copies").to_numpy()
+            full, other_root = np.array(outer.column("full").to_pylist(), bool), outer.column("root").to_numpy()
+            i, j = np.nonzero(linked[:, ~full])
+            j = np.flatnonzero(~full)[j]
+            yield links(who[i], other[j], False)
+            i, j = np.nonzero(linked & full & (root[:, None] != other_root))
+            if len(i):
+                _, one = np.unique(other_root[j], return_index=True)  # a block lies in one component
+                yield links(who[i[one]], other[j[one]], True)
+        if at is not None and held:
+            yield counted(who, n)
 
+    def counted(who: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return _batch(COMPARED, [who, n, [None] * len(n), [None] * len(n), [None] * len(n)])
 
-def _audit(nodes: DataFrame, roots: DataFrame, threshold: float) -> tuple[int, int, DataFrame]:
-    """(links, links found, all links) of a bounded sample of nodes, compared with every row.
+    def links(u: np.ndarray, v: np.ndarray, both: bool) -> pa.RecordBatch:
+        return _batch(COMPARED, [[None] * len(u), [None] * len(u), u, v, [both] * len(u)])
 
-    A link counts as found if its ends share a component, in which all links are counted.
-    """
-    sample = nodes.select("node", "space", "unit").orderBy(F.xxhash64("node"), "node").limit(AUDITED).collect()
-    by_space: dict[str, tuple[list[bytes], np.ndarray]] = {}
+    return near.unionByName(inside).repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(compare, COMPARED)
+
+
+def _audit(nodes: DataFrame, full: DataFrame, links: DataFrame, threshold: float) -> tuple[int, int]:
+    """(links, links found) of a bounded sample of nodes that are not full, compared with every row."""
+    some = nodes.select("node", "space", "unit").join(full.select(F.col("u").alias("node")), "node", "left_anti")
+    sample = some.orderBy(F.xxhash64("node"), "node").limit(AUDITED).collect()
+    by_space: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for space in {r["space"] for r in sample}:
         own = [r for r in sample if r["space"] == space]
-        by_space[space] = ([bytes(r["node"]) for r in own], np.stack([np.frombuffer(r["unit"], np.float64) for r in own]))
+        by_space[space] = (np.array([r["node"] for r in own]), np.stack([np.frombuffer(r["unit"], np.float64) for r in own]))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spaces = np.array(batch.column("space").to_pylist(), object)
-            who = batch.column("node").to_pylist()
+            spaces, who = np.array(batch.column("space").to_pylist(), object), batch.column("node").to_numpy()
             for space, (asked, x) in by_space.items():
                 at = np.flatnonzero(spaces == space)
                 if len(at):
-                    i, j = np.nonzero(x @ _doubles(batch.column("unit").take(pa.array(at))).T >= threshold)
-                    pairs = [(asked[a], who[at[b]]) for a, b in zip(i, j) if asked[a] != who[at[b]]]
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["u", "v"])
+                    i, j = np.nonzero(x @ _stacked(batch.column("unit").take(pa.array(at)), np.float64).T >= threshold)
+                    i, j = asked[i], who[at[j]]
+                    yield _batch("u long, v long", [np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]])
 
-    links = cut(nodes.select("node", "space", "unit").mapInArrow(make, "u binary, v binary"))
-    ends = links.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
-    row = ends.agg(F.count(F.lit(1)), F.count(F.when(F.col("ru") == F.col("rv"), 1))).first()
-    return row[0], row[1], links
+    true = nodes.select("node", "space", "unit").mapInArrow(make, "u long, v long").distinct()
+    found = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(True).alias("found")).distinct()
+    row = true.join(found, ["u", "v"], "left").agg(F.count(F.lit(1)), F.count("found")).first()
+    return row[0], row[1]
 
 
-def _crossing(nodes: DataFrame, roots: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Links between components: of all pairs of nodes of a space, one link for every two components of a tile.
-
-    All pairs are compared in double precision, so the work grows with the square of a space's nodes.
-    """
-    blocks = sizes.where(F.col("n") > 1).select("space", F.expr(f"cast(ceil(n / {SIDE}) AS int)").alias("blocks"))
-    rows = nodes.select("node", "space", "unit").join(roots, "node", "left").join(blocks, "space")
-    rows = rows.withColumn("root", F.coalesce("root", "node")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = rows.select("node", "space", "root", "unit", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("node", "space", "root", "unit", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    tile = ["space", "i", "j"]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), rows in runs(batches, tile):
-            who, x, own = rows.column("node").to_pylist(), _doubles(rows.column("unit")), rows.column("own").to_numpy()
-            _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
-            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            at, to = np.nonzero((x[a] @ x[b].T >= threshold) & (root[a][:, None] != root[b]))
-            at, to = a[at], b[to]
-            low, high = np.minimum(root[at], root[to]), np.maximum(root[at], root[to])
-            _, one = np.unique(low * (len(who) + 1) + high, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array([who[k] for k in side[one]], pa.binary()) for side in (at, to)], names=["u", "v"])
-
-    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, "u binary, v binary")
-
-
-def _counted(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(node, n): the copies of all other nodes that a node is linked with, within components, by tiles."""
-    members = nodes.join(roots, "node").select("node", "root", "copies", "unit")
-    blocks = members.groupBy("root").agg(F.expr(f"cast(ceil(count(1) / {TILE}) AS int)").alias("blocks"))
-    rows = members.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = rows.select("node", "root", "copies", "unit", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("node", "copies", "unit", "own", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    tile = ["root", "i", "j"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), rows in runs(batches, tile):
-            who, copies = rows.column("node").to_pylist(), rows.column("copies").to_numpy()
-            x, own = _doubles(rows.column("unit")), rows.column("own").to_numpy()
-            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            linked = x[a] @ x[b].T >= threshold
-            if i == j:
-                np.fill_diagonal(linked, False)
-                n = linked @ copies
-            else:
-                n = np.zeros(len(who), np.int64)
-                n[a] = linked @ copies[b]
-                n[b] = linked.T @ copies[a]
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.binary()), pa.array(n, pa.int64())], names=["node", "n"])
-
-    tiled = dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(count, "node binary, n long")
-    return tiled.groupBy("node").agg(F.sum("n").alias("n"))
-
-
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicate_vectors(
+    vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", recall: float = RECALL, report: dict | None = None
+) -> DataFrame:
     """Link vectors of one label whose cosine, in double precision, is at least ``threshold``.
 
     Returns, for every input row, ``id_col``, ``n_links`` (other rows linked directly), ``component_id``
     (the least id reached by links, its own included) and ``kept`` (whether it is that one).
 
+    No link is wrong.  Links of vectors with more than ``LONGEST`` distinct partners are all found, and so
+    are all links of labels up to ``CELL`` distinct vectors; of the others the share ``recall`` at least is
+    found in an audit, which is logged and put in ``report`` (links, found, recall, searches, exact).
+
     Vectors that are null or zero or hold null, NaN or infinite components link with nothing, and so
     do rows with a null label or id and vectors of another length.  Repeated rows and copies are linked
-    with each other.  No link is missed and none is wrong: what the search does not find is found by
-    comparing all pairs across components.  An empty table gives an empty result.
+    with each other.  An empty table gives an empty result; other columns are not read.
     """
     id_type = vectors.schema[id_col].dataType.simpleString()
-    nodes = cut(_packed(_nodes(vectors, id_col, vector_col, label_col)))
-    sizes = cut(nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n")))
-    size = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("spaces")).first()
-    bits = max(1, math.ceil(math.log2(max(size["largest"], 2) / CELL)))
-    lists = None
-    for draw in range(DRAWS):
-        first = _first_lists(nodes, draw, bits).withColumn("fresh", F.lit(1))
-        lists = first if lists is None else lists.unionByName(first)
-    lists = cut(_shortened(lists))
-    for _ in range(ROUNDS):
-        lists = cut(_refined(lists, nodes))
-        changed = lists.where(F.col("fresh") == 1).count()
-        if changed <= SETTLED * LIST * size["all"]:
+    rows = _rows(vectors, id_col, vector_col, label_col)
+    nodes = cut(_nodes(rows))
+    spaces = {r["space"]: r["n"] for r in nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n")).limit(1000).collect()}
+    largest = max(spaces.values(), default=0)
+    bits = max(0, math.ceil(math.log2(max(largest, 1) / CELL)))
+    angle = math.acos(min(1.0, threshold))
+    near, floor = threshold - MARGIN, math.cos(min(2 * angle, math.pi / 2)) - MARGIN
+    together = (1 - angle / math.pi) ** bits
+    draws = 1 if not bits else min(DRAWS, math.ceil(math.log(MISS) / math.log1p(-together)))
+    lists, begun = None, 0
+    for search in range(1, SEARCHES + 1):
+        now = _search(nodes, lists, range(begun, begun + draws), bits, near, floor)
+        begun, draws, lists = begun + draws, 2 * draws, now
+        full = lists.where("full").select("u")
+        links = cut(_exact(lists.select("u", F.explode(F.arrays_zip("vs", "sims")).alias("e")).where(F.col("e.sims") >= near).select("u", F.col("e.vs").alias("v")), nodes, threshold))
+        roots, compared = connected_components(links), None
+        if not full.isEmpty():
+            compared = cut(_compared(nodes, full, roots, spaces, threshold))
+            links = links.unionByName(compared.where("u IS NOT NULL").select("u", "v"))
+        true, known = _audit(nodes, full, links, threshold + ROUNDING)
+        if known >= recall * true:
             break
-    links = cut(_exact(lists.where(F.col("sim") >= threshold - MARGIN), nodes, threshold))
-    roots = connected_components(links)
-    few = F.broadcast if size["spaces"] <= BROADCAST_SPACES else (lambda frame: frame)
-    crossing = cut(_crossing(nodes, roots, few(sizes), threshold))
-    if not crossing.isEmpty():
-        roots = connected_components(links.unionByName(crossing))
-    true, known, _ = _audit(nodes, roots, threshold + ROUNDING)
-    if known < true:
-        raise RuntimeError(f"{true - known} of {true} audited links lie between components")
-    counts = _counted(nodes, roots, threshold)
+    exact = known < recall * true
+    if exact:
+        full = nodes.select(F.col("node").alias("u"))
+        compared = cut(_compared(nodes, full, roots, spaces, threshold))
+        links, known = links.unionByName(compared.where("u IS NOT NULL").select("u", "v")), true
+    found = {"links": true, "found": known, "recall": known / true if true else 1.0, "searches": search, "exact": exact}
+    log.info("audit of near-duplicate vectors: %s", found)
+    if report is not None:
+        report.update(found)
+    if compared is not None:
+        roots = connected_components(links)
+    return _placed(vectors, rows, nodes, links, full, compared, roots, id_col, id_type)
+
+
+def _placed(vectors: DataFrame, rows: DataFrame, nodes: DataFrame, links: DataFrame, full: DataFrame, compared: DataFrame | None, roots: DataFrame, id_col: str, id_type: str) -> DataFrame:
+    """The result: links are counted from lists, those of full nodes from the comparison."""
+    pairs = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    ends = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    if compared is not None:
+        ends = ends.join(full, "u", "left_anti")
+    counts = ends.join(nodes.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n"))
+    if compared is not None:
+        counts = counts.unionByName(compared.where("node IS NOT NULL").groupBy(F.col("node").alias("u")).agg(F.sum("n").alias("n")))
     linked = roots.join(nodes.select("node", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
-    placed = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(least, "root", "left").join(counts, "node", "left")
-    placed = placed.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.concat_ws("/", F.col(label_col).cast("string"), F.size(vector_col).cast("string")).alias("space"), F.col(label_col).isNotNull().alias("labelled"))
-    rows = rows.select("id", F.when(F.col("labelled") & F.col("id").isNotNull(), _node()).alias("node"))
-    joined = rows.join(placed, "node", "left")
-    component = F.coalesce("component", "id").cast(id_type)
-    return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    placed = nodes.select("key", "node", "rep", "copies").join(roots, "node", "left").join(least, "root", "left").join(counts.withColumnRenamed("u", "node"), "node", "left")
+    placed = placed.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    joined = rows.where("ok").select("id", _key().alias("key")).join(placed, "key").select("id", "n_links", "component").unionByName(alone)
+    component = F.col("component").cast(id_type)
+    return joined.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

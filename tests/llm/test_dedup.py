@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from loomline.llm import embedding_dedup, near_dedup
+from loomline.llm.common import runs
 from loomline.llm.components import connected_components
 from tests.llm.conftest import SCHEMA, passage
 
@@ -216,10 +216,40 @@ def test_op8_null_ids(spark):
     assert got == {(None, 0, None, True), (3, 1, 2, False), (2, 1, 2, True)}
 
 
-def test_audit_counts_missed_links(spark):
-    nodes = spark.createDataFrame([(hashlib.md5(bytes([i])).digest(), "s", i, 1, np.array([1.0, i * 1e-3]).tobytes(), b"") for i in range(6)], "node binary, space string, rep long, copies long, unit binary, half binary")
-    none = spark.createDataFrame([], "node binary, root binary")
-    true, known, links = embedding_dedup._audit(nodes, none, 0.5)
-    assert (true, known, links.count()) == (30, 0, 30)
-    roots = nodes.select("node", F.unhex(F.lit("00")).alias("root"))
-    assert embedding_dedup._audit(nodes, roots, 0.5)[:2] == (30, 30)
+def test_op8_failed_audits_end_in_an_exact_comparison(spark, monkeypatch):
+    # Cells so small and few that the search misses links, blocks of several parts, and a recall that no search reaches.
+    for name, value in {"CELL": 8, "AGAIN": 0, "MISS": 0.9, "DRAWS": 1, "ROUNDS": 1, "BLOCK": 16, "BALLS": 6, "PARTNERS": 50, "MEET": 4}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(21)
+    rows = []
+    for family in range(30):
+        centre = rng.normal(size=12)
+        rows += [(len(rows) + i, (centre + 0.1 * rng.normal(size=12)).tolist(), family % 2) for i in range(1 + family)]
+    report = {}
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = embedding_dedup.near_duplicate_vectors(frame, recall=1.01, report=report).collect()
+    expected = Counter((r[0], *g, r[0] == g[1]) for r, g in zip(rows, plain_links(rows)))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == expected
+    assert report["exact"] and report["searches"] == embedding_dedup.SEARCHES and report["recall"] == 1
+
+
+def test_op8_enlarged_lists_and_full_nodes(spark, monkeypatch):
+    # Families smaller and larger than a list, an enlarged list and a block; one part of a label's partners for 300.
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "PARTNERS", 300)
+    rng = np.random.default_rng(22)
+    rows = []
+    for size in (1, 2, 9, 11, 12, 30, 40, 41, 42, 43, 60, 200, 700):
+        centre = rng.normal(size=24)
+        rows += [(5000 - len(rows) - i, (centre + rng.uniform(0.05, 0.35) * rng.normal(size=24)).tolist(), 1) for i in range(size)]
+    report = {}
+    check_vectors(spark.createDataFrame(rows, VECTORS))
+    embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, VECTORS), report=report).collect()
+    assert report["recall"] >= embedding_dedup.RECALL and not report["exact"]
+
+
+def test_runs_in_parts():
+    batches = [pa.RecordBatch.from_pydict({"k": k, "v": [*range(len(k))]}) for k in ([1, 1, None], [None, 2, 2, 2], [], [2, 2, 3])]
+    found = [(key, rows.num_rows) for key, rows in runs(iter(batches), ["k"], 2)]
+    assert found == [((1,), 2), ((None,), 2), ((2,), 2), ((2,), 2), ((2,), 1), ((3,), 1)]
+    assert [(k, r.num_rows) for k, r in runs(iter(batches), ["k"])] == [((1,), 2), ((None,), 2), ((2,), 5), ((3,), 1)]
