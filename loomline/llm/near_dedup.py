@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut
+from loomline.llm.common import cut, spread
 from loomline.llm.components import connected_components
 
 #: Signature values a band takes together, and signature values compared at a time.
@@ -41,8 +41,11 @@ LONGER = 600
 STAR = 512
 #: Shingles that are hashed together.
 TOGETHER = 400_000
-#: Signature values are the upper 16 bits: chance matches are rarer than any count here can tell.
+#: Signature values are 16 bits of a minimum that is mixed first, as the minimum of a large set is all but zero in its
+#: upper bits: of two sets with nothing in common, one value in 65,536 is equal, whatever their sizes.
 SIGNED = "<u2"
+#: Copies of a set above which the class is sent to its rows, and the most rows that are sent so.
+COPIES, SENT = 10_000, 100_000
 
 
 def bands_for(percent: int) -> int:
@@ -110,31 +113,35 @@ def _signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
         x = np.concatenate(sets[at:stop])
         starts = np.cumsum([0, *(len(s) for s in sets[at : stop - 1])])
         for k in range(n):
-            out[at:stop, k] = np.minimum.reduceat(x * a[k] + b[k], starts) >> np.uint64(48)
+            out[at:stop, k] = _mixed(np.minimum.reduceat(x * a[k] + b[k], starts)) >> np.uint64(48)
         at = stop
     return out
 
 
-def _sets(documents: DataFrame, id_col: str, text_col: str, words: int, n: int = 0) -> DataFrame:
-    """(id, n_shingles, digest), and with n > 0 also sig; digest and sig are null for the empty set."""
+def _sets(documents: DataFrame, id_col: str, text_col: str, words: int, n: int) -> DataFrame:
+    """(id, text_hash, n_shingles, digest, sig); digest and sig are null for the empty set."""
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t.as_py(), words) for t in batch.column(2)]
+            some = [s for s in sets if len(s)]
+            signed = iter([row.tobytes() for row in _signatures(some, n)] if some else [])
             columns = {
                 "id": batch.column(0),
+                "text_hash": batch.column(1),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                "sig": pa.array([next(signed) if len(s) else None for s in sets], pa.binary()),
             }
-            if n:
-                some = [s for s in sets if len(s)]
-                signed = iter([row.tobytes() for row in _signatures(some, n)] if some else [])
-                columns["sig"] = pa.array([next(signed) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    more = ", sig binary" if n else ""
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {id_type}, n_shingles long, digest binary{more}")
+    rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return rows.select("id", _text_hash(), "text").mapInArrow(make, f"id {id_type}, text_hash long, n_shingles long, digest binary, sig binary")
+
+
+def _text_hash():
+    return F.xxhash64("text").alias("text_hash")
 
 
 def _stacked(column: pa.Array) -> np.ndarray:
@@ -190,57 +197,63 @@ def _plausible(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray
     return alive
 
 
-def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that signatures leave plausible."""
+def _sent(frame: DataFrame) -> DataFrame:
+    """A frame to be joined with many rows a key: broadcast if it is short enough, which is counted."""
+    return F.broadcast(frame) if frame.count() <= SENT else frame
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = np.arange(batch.num_rows)
-                keep = _plausible(_stacked(batch.column("sig_a")), _stacked(batch.column("sig_b")), same, same, percent)
-                yield batch.select(["a", "b"]).take(pa.array(keep))
-
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(make, "a long, b long")
 
+def _starred(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, part, b, *columns): the stars of all pairs (a, b), sorted so that the centre a comes first, with b null.
 
-def _texts(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, digest, text) for the wanted (node, digest, rep): the text of one document of each class.
-
-    Documents are found by the class's least id; those of classes without any id, by digest.
-    A row whose id is another document's too may have another text, which ``_confirm`` notices.
+    A star has a part for every ``STAR`` members; each part gets its centre's row of ``nodes`` and each
+    member's own, so that a centre with any number of members is spread over many tasks.
     """
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = rows.join(wanted.where(F.col("rep").isNotNull()), F.col("id") == F.col("rep")).select("node", "digest", "text")
-    nameless = rows.where(F.col("id").isNull())
-    digests = nameless.mapInArrow(_with_digest(words), "digest binary, text string")
-    return cut(named.unionByName(digests.join(wanted.where(F.col("rep").isNull()), "digest").select("node", "digest", "text")))
+    stars = cut(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {STAR}) AS int)").alias("parts")))
+    large = _sent(stars.where("parts > 1"))
+    members = pairs.join(large, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
+    members = members.join(nodes.withColumnRenamed("node", "b"), "b").select("a", "part", "b", *columns)
+    part = F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
+    centres = stars.join(nodes.withColumnRenamed("node", "a"), "a").select("a", part, F.lit(None).cast("long").alias("b"), *columns)
+    return centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
 
-def _with_digest(words: int):
+def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that signatures leave plausible."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple[int | None, bytes] = (None, b"")
         for batch in batches:
-            texts = batch.column(1)
-            digests = [set_digest(shingles(t, words)) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), texts], names=["digest", "text"])
+            a, b, sig = (batch.column(c).to_pylist() for c in ("a", "b", "sig"))
+            centres, members = [], []
+            for i, (x, y) in enumerate(zip(a, b)):
+                if y is None:
+                    own = (x, sig[i])
+                elif own[0] == x:
+                    centres.append(own[1])
+                    members.append(i)
+            if members:
+                left, right = (np.frombuffer(b"".join(side), SIGNED).reshape(len(members), -1) for side in (centres, [sig[i] for i in members]))
+                same = np.arange(len(members))
+                keep = _plausible(left, right, same, same, percent)
+                yield batch.select(["a", "b"]).take(pa.array(np.array(members)[keep], pa.int64()))
+
+    return _starred(pairs, nodes.select("node", "sig"), ["sig"]).mapInArrow(make, "a long, b long")
+
+
+def _texts(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, digest, text) for the wanted (node, digest, rep): the text of one document of each class.
 
-    return make
+    ``rep`` is the id and the text's hash; repeated rows are reduced to one before they move.
+    """
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    asked = wanted.select("node", "digest", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    found = rows.join(asked, F.col("id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash")))
+    return cut(found.select("node", "digest", "text").dropDuplicates(["node"]))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold.
-
-    Each star (pairs of one a) gets a's text once for every ``STAR`` members and each member's text
-    once; a set must have its node's digest.
-    """
-    stars = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {STAR}) AS int)").alias("parts"))
-    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    members = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "digest", "text")
-    parts = F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
-    centres = stars.join(texts.withColumnRenamed("node", "a"), "a").select("a", parts, F.lit(None).cast("long").alias("b"), "digest", "text")
-    # Sorted so that a centre comes before its members; a task holds one centre's set at a time.
-    dealt = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    """The pairs whose whole shingle sets reach the threshold; a task holds one centre's set at a time."""
+    dealt = _starred(pairs, texts, ["digest", "text"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
@@ -346,26 +359,41 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, id_
     Repeated rows and copies have equal sets and are linked.  A null id is no candidate for
     ``component_id`` where its component has others; a component of null ids only has a null one, and
     its rows count as kept.  An empty table gives an empty result; texts of any length are taken whole.
-    A pair at the threshold is missed with probability 2 * ``MISS`` at most; no pair is linked wrongly.
+    A pair at the threshold is missed with probability 2 * ``MISS`` at most.  Pairs are confirmed on whole sets of
+    64-bit hashes of shingles; two shingles of one pair of texts of a million words each share a hash
+    with a probability of 1e-7.  Columns other than the two named are not read.
     """
     bands = bands_for(percent)
     n = -(-bands * ROWS // BATCH) * BATCH
-    classes = _sets(documents, id_col, text_col, words, n).where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
+    sets = cut(_sets(documents, id_col, text_col, words, n))
+    classes = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(
+        F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))), F.min(F.struct("id", "text_hash"))).alias("rep"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")
+    )
     # Once the classes are written, their numbers stay.
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     crowded = _crowded(nodes, bands)
     wanted = crowded.select("node").distinct().join(nodes.select("node", "digest", "rep"), "node")
-    texts = _texts(documents, wanted, id_col, text_col, words)
+    texts = _texts(documents, wanted, id_col, text_col)
     pairs = crowded.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(_confirm(cut(_prune(pairs, nodes, percent)), texts, words, percent))
     roots = connected_components(links)
-    more = _confirm(cut(_leftover_pairs(crowded, roots, texts, bands, words, percent)), texts, words, percent)
-    roots = connected_components(links.unionByName(more))
-    reps = nodes.select("node", "digest", "rep")
-    linked = roots.join(reps, "node")
+    more = cut(_confirm(cut(_leftover_pairs(crowded, roots, texts, bands, words, percent)), texts, words, percent))
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more))
+    reps = nodes.select("node", "digest", "copies", F.col("rep.id").alias("rep"))
+    linked = roots.join(reps.select("node", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    placed = reps.join(linked.select("node", "root"), "node", "left").join(least, "root", "left")
-    placed = placed.select("digest", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"))
-    joined = _sets(documents, id_col, text_col, words).join(placed, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("least"))
-    return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    placed = reps.join(roots, "node", "left").join(least, "root", "left")
+    placed = cut(placed.select("digest", "copies", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least")))
+    return _told(sets.select("id", "n_shingles", "digest"), placed, id_col)
+
+
+def _told(sets: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
+    """The result: each row gets its class's least id.  Classes of many copies are sent to their rows."""
+    some = sets.where(F.col("digest").isNotNull())
+    many = _sent(placed.where(F.col("copies") > COPIES).select("digest", "least"))
+    few = placed.where(F.col("copies") <= COPIES).select("digest", "least")
+    columns = ["id", "n_shingles", "least"]
+    joined = some.join(many, "digest").select(columns).unionByName(some.join(many, "digest", "left_anti").join(few, "digest").select(columns))
+    alone = sets.where(F.col("digest").isNull()).select("id", "n_shingles", F.col("id").alias("least"))
+    return joined.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.col("id").eqNullSafe(F.col("least")).alias("kept"))

@@ -110,6 +110,31 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 0.85) < 0.06
 
 
+def test_signatures_of_large_sets_do_not_saturate():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1_000_000, 1_000_000, 120_000, 100_000)]
+    sig = near_dedup._signatures(sets, 120)
+    assert max((sig[i] == sig[j]).sum() for i in range(4) for j in range(i)) <= 1
+
+
+def test_long_texts(spark):
+    """Texts of over 100,000 words: two unlike ones, and a copy of each with one word in forty or in a thousand changed."""
+    rows = []
+    for seed in (1, 2):
+        words = [f"w{seed}x{i * i % 999_983}" for i in range(110_000)]
+        rows += [(10 * seed, " ".join(words)), (10 * seed + 1, " ".join("other" if i % 1000 == 0 else w for i, w in enumerate(words))), (10 * seed + 2, " ".join("other" if i % 40 == 0 else w for i, w in enumerate(words)))]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+
+
+def test_a_large_star_and_many_copies(spark, monkeypatch):
+    # One family around its first text, more copies of it than are joined by shuffle, null and repeated ids.
+    monkeypatch.setattr(near_dedup, "COPIES", 20)
+    words = passage(5, 200).split()
+    rows = [(i, " ".join(words)) for i in range(100, 140)] + [(None, " ".join(words))] * 30 + [(7, passage(6))] * 40 + [(7, " ".join(words))]
+    rows += [(1000 + i, " ".join([*words[: i % 190], f"x{i}", *words[i % 190 + 1 :]])) for i in range(1500)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(7, 7), (None, 3), (5, 4)]
