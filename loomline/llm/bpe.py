@@ -20,6 +20,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from sys import byteorder
@@ -29,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomline.llm import merges
-from loomline.llm.common import per_batch
+from loomline.llm.common import per_batch, spread
 
 REMEMBERED = 350_000
 LONGEST_REMEMBERED = 40
 #: Symbols read at a time beyond the lookahead.
 STRIDE = 512
+#: Characters of a text that are cut into words at a time.
+WINDOW = 65_536
+_BLANK = re.compile("[ \n]")
 #: Symbols up to which scanning all pairs is cheaper than a heap.
 SHORT = 24
 
@@ -145,18 +149,42 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def encode_text(path: str, text: str) -> tuple[bytes, str]:
-    """(ids as little-endian unsigned 32-bit integers, decoded text) of one whole text."""
-    words, out = _words(path), []
+def _windows(text: str) -> Iterator[str]:
+    """The text in order, in parts of about ``WINDOW`` characters that start at a blank or line end.
+
+    No word holds a blank, and composing or lower-casing characters never looks across one.
+    """
+    start = 0
+    while start < len(text):
+        m = _BLANK.search(text, start + max(WINDOW, 1))
+        stop = m.start() if m else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+def stream(path: str, text: str) -> Iterator[tuple[bytes, str]]:
+    """(ids as little-endian unsigned 32-bit integers, decoded text) of each window with tokens, one after the other.
+
+    What is held besides the text does not grow with it: a window's words, and a word's window in the ``Encoder``.
+    """
+    words = _words(path)
     for part, special in words.table.sections(text):
-        if merges.FAR.search(part):
-            found = merges.split_far(path, part)
-        else:  # composed already, and white space falls away between words
-            found = merges.WORD_LEVEL.findall(part.lower())
-        out += map(words.__getitem__, found)
+        for window in _windows(part):
+            if merges.FAR.search(window):
+                found = merges.split_far(path, window)
+            else:  # composed already, and white space falls away between words
+                found = merges.WORD_LEVEL.findall(window.lower())
+            if found:
+                out = [*map(words.__getitem__, found)]
+                yield b"".join([ids for ids, _ in out]), " ".join([back for _, back in out])
         if special >= 0:
-            out.append((_packed([special]), words.table.pieces[special]))
-    return b"".join([ids for ids, _ in out]), " ".join([text for _, text in out])
+            yield _packed([special]), words.table.pieces[special]
+
+
+def encode_text(path: str, text: str) -> tuple[bytes, str]:
+    """(ids as little-endian unsigned 32-bit integers, decoded text) of one whole text."""
+    out = [*stream(path, text)]
+    return b"".join([ids for ids, _ in out]), " ".join([back for _, back in out])
 
 
 def encode_and_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -165,8 +193,9 @@ def encode_and_decode(documents: DataFrame, path: str, id_col: str = "doc_id", t
     Returns ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and with ``keep_ids`` also
     ``ids`` (array of int) and ``decoded`` (text), a row for each input row.  A null or empty text
     has no tokens and decodes to the empty text; repeated rows and null ids are encoded alike; an
-    empty table gives an empty result; texts and words of any length are taken whole.  ``path``
-    names a tokenizer file present on every executor.
+    empty table gives an empty result; texts and words of any length are taken whole, window by window,
+    so that without ``keep_ids`` memory does not grow with a text beyond the text itself; columns other
+    than the two named are not read.  ``path`` names a tokenizer file present on every executor.
     """
     def lists(packed: list[bytes]) -> pa.ListArray:
         offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
@@ -176,18 +205,24 @@ def encode_and_decode(documents: DataFrame, path: str, id_col: str = "doc_id", t
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
-        for text in batch.column(1).to_pylist():
-            packed, back = encode_text(path, text or "")
-            n.append(len(packed) // 4)
-            ids_sha.append(hashlib.sha256(packed).hexdigest())
-            text_sha.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+        for text in batch.column(1):
+            count, ids_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+            for packed, back in stream(path, text.as_py() or ""):
+                ids_hash.update(packed)
+                text_hash.update((" " + back if count else back).encode("utf-8"))
+                count += len(packed) // 4
+                if keep_ids:
+                    kept.append((packed, back))
+            n.append(count)
+            ids_sha.append(ids_hash.hexdigest())
+            text_sha.append(text_hash.hexdigest())
             if keep_ids:
-                ids.append(packed)
-                decoded.append(back)
+                ids.append(b"".join([packed for packed, _ in kept]))
+                decoded.append(" ".join([back for _, back in kept]))
         columns = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
         if keep_ids:
             columns |= {"ids": lists(ids), "decoded": pa.array(decoded, pa.string())}
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     more = ", ids array<int>, decoded string" if keep_ids else ""
-    return per_batch(documents.select(id_col, text_col), make, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return per_batch(spread(documents.select(id_col, text_col)), make, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.llm.common import spread
+
 #: N-grams in a profile.
 SIZE = 300
 #: Languages whose profiles form one table of ranks.
@@ -100,7 +102,7 @@ def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     columns = [pa.array(names[lang[first]].tolist(), pa.string()), pa.array(gram[first], pa.int64()), pa.array(np.add.reduceat(n, first), pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
-    rows = documents.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
+    rows = spread(documents.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col))
     grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     return sorted((r["lang"], r["gram"], r["rank"] - 1) for r in ranked.select("lang", "gram", "rank").collect())
@@ -173,4 +175,4 @@ def identify(documents: DataFrame, profiles: Profiles, text_col: str = "text", k
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*columns).mapInArrow(make, f"{schema}, lang_pred string, score double")
+    return spread(documents.select(*columns)).mapInArrow(make, f"{schema}, lang_pred string, score double")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import regex
@@ -59,16 +60,13 @@ class MergeTable:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
 
-    def sections(self, text: str) -> list[tuple[str, int]]:
+    def sections(self, text: str) -> Iterator[tuple[str, int]]:
         """The text cut at special strings: (ordinary text, id of the special string after it or -1)."""
-        if self.special_pattern is None:
-            return [(text, -1)]
-        out, at = [], 0
-        for m in self.special_pattern.finditer(text):
-            out.append((text[at : m.start()], self.special[m[0]]))
+        at = 0
+        for m in self.special_pattern.finditer(text) if self.special_pattern else ():
+            yield text[at : m.start()], self.special[m[0]]
             at = m.end()
-        out.append((text[at:], -1))
-        return out
+        yield text[at:] if at else text, -1
 
     def start(self, word: bytes, ends: bool = True) -> list[int]:
         """The symbols of a word before any merge; its last byte carries the word end if ``ends``."""

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import per_batch
+from loomline.llm.common import per_batch, spread
 
 
 @dataclass(frozen=True)
@@ -345,7 +345,7 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.RecordBatch.from_arrays(columns, names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     schema = f"`{id_col}` {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return per_batch(documents.select(id_col, text_col), make, schema)
+    return per_batch(spread(documents.select(id_col, text_col)), make, schema)
 
 
 def redact(documents: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:

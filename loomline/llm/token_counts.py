@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomline.llm import merges
-from loomline.llm.common import per_batch
+from loomline.llm.common import per_batch, spread
 
 REMEMBERED = 500_000
 LONGEST_REMEMBERED = 40
@@ -70,4 +70,4 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 512, id_col: str
             names=[id_col, "n_bytes", "n_tokens", "over_limit"],
         )
 
-    return per_batch(documents.select(id_col, text_col), make, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return per_batch(spread(documents.select(id_col, text_col)), make, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

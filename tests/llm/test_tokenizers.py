@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import tracemalloc
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -41,26 +43,55 @@ def test_any_text(libraries, text):
 
 def test_op1(odd, empty, documents, libraries):
     for frame in (odd, documents):
-        rows = token_counts.count_tokens(frame, BYTES).collect()
-        texts = [r.text for r in frame.select("text").collect()]
-        assert len(rows) == len(texts)
-        for row, text in zip(rows, texts):
+        expected = Counter()
+        for doc_id, text in frame.select("doc_id", "text").collect():
             n = len(libraries[0].encode(text or "", add_special_tokens=False).ids)
-            assert (row.n_bytes, row.n_tokens, row.over_limit) == (len((text or "").encode()), n, n > 512)
+            expected[doc_id, len((text or "").encode()), n, n > 512] += 1
+        assert Counter(map(tuple, token_counts.count_tokens(frame, BYTES).collect())) == expected
     assert token_counts.count_tokens(empty, BYTES).collect() == []
 
 
 def test_op9(odd, empty, libraries):
-    rows = bpe.encode_and_decode(odd, WORDS).collect()
+    key = lambda r: (r[0] is None, r[0])
+    rows = sorted(bpe.encode_and_decode(odd, WORDS).collect(), key=key)
     assert len(rows) == len(ODD)
-    for row, (_, text, *_) in zip(rows, ODD):
+    for row, (doc_id, text, *_) in zip(rows, sorted(ODD, key=key)):
         ids, decoded = expected(libraries[1], text)
+        assert row.doc_id == doc_id
         assert row.ids == ids and row.decoded == decoded and row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
     assert bpe.encode_and_decode(empty, WORDS).collect() == []
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXT, st.integers(0, 5))
+def test_any_window(libraries, text, window):
+    whole, size = expected(libraries[1], text), bpe.WINDOW
+    try:
+        bpe.WINDOW = window
+        parts = [*bpe.stream(WORDS, text)]
+    finally:
+        bpe.WINDOW = size
+    assert b"".join([p for p, _ in parts]) == struct.pack(f"<{len(whole[0])}I", *whole[0]) and " ".join([d for _, d in parts]) == whole[1]
+
+
+def test_memory_does_not_grow_with_a_text():
+    peaks = []
+    for megabytes in (1, 8, 50):
+        text = "several different words, 1234 of them. " * (megabytes * 1_000_000 // 39)
+        if megabytes == 50:
+            # Too slow to trace: what is put out at a time is bounded.
+            assert max(len(packed) + len(back) for packed, back in bpe.stream(WORDS, text)) < 8 * bpe.WINDOW
+            continue
+        tracemalloc.start()
+        for _ in bpe.stream(WORDS, text):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] + 1_000_000
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("aeinorstlh"), min_size=1, max_size=300), st.integers(1, 40))
