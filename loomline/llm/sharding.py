@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut
+from loomline.llm.common import cut, partitions
 
 #: Rows that one ranking group should hold on average.
 GROUP_ROWS = 200_000
+#: Rows of a table that is sent to all tasks, at most.
+SENT = 100_000
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -57,6 +59,34 @@ def _curve(dimensions: Sequence[Column], bits: int) -> Column:
     return place(*dimensions)
 
 
+def _sent(frame: DataFrame) -> DataFrame:
+    """A frame to be joined with many rows a key: broadcast if it is short enough, which is counted."""
+    frame = cut(frame)
+    return F.broadcast(frame) if frame.count() <= SENT else frame
+
+
+def _shares_before(counts: DataFrame) -> DataFrame:
+    """(value, share): the share of all rows that come before a value, null first.
+
+    Values are dealt out by ranges; only the ranges' sums, one for each partition, come together.
+    """
+    order = F.col("value").asc_nulls_first()
+    ranged = cut(counts.repartitionByRange(partitions(counts.sparkSession), order).select("value", "n", F.spark_partition_id().alias("range")))
+    before = (Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("m"))
+    sums = sums.select("range", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(*before)), F.lit(0)).alias("start"), F.sum("m").over(Window.partitionBy()).alias("all"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy(order).rowsBetween(*before)), F.lit(0))
+    return ranged.withColumn("own", own).join(F.broadcast(sums), "range").select("value", ((F.col("start") + F.col("own")) / F.col("all")).alias("share"))
+
+
+def _gathered(placed: DataFrame) -> DataFrame:
+    """The rows with all copies of a text in one cell, the first on the curve that any of them has."""
+    cells = placed.groupBy(F.col("text_crc32").alias("__tc"), F.col("size").alias("__ts")).agg(F.min("hilbert").alias("__first"), F.max("hilbert").alias("__last"))
+    moved = _sent(cells.where("__first < __last").drop("__last"))
+    joined = placed.join(moved, (F.col("text_crc32") == F.col("__tc")) & (F.col("size") == F.col("__ts")), "left")
+    return joined.withColumn("hilbert", F.coalesce("__first", "hilbert")).drop("__tc", "__ts", "__first")
+
+
 def shard_documents(
     documents: DataFrame,
     shards: int = 8,
@@ -70,14 +100,16 @@ def shard_documents(
 
     The dimensions are the text's size (its octave) and the columns named in ``dimensions``, each
     quantised to ``bits`` bits: a column's values are numbered in their order by cumulative row
-    share, null first.  Within a cell rows go by the text's checksum, so that equal texts stay
-    together but where a cut falls.  Returns ``id_col``, ``size`` (UTF-8 bytes + 1), ``text_crc32``,
+    share, null first.  Equal texts (of one checksum and size), whatever their columns, take the first
+    of their cells, and within a cell rows go by checksum, so that equal texts lie together; of all
+    groups of equal texts at most ``shards`` - 1 are divided, one by each cut.  Returns ``id_col``, ``size`` (UTF-8 bytes + 1), ``text_crc32``,
     ``law`` ('rows'), ``shard``, ``slot`` (place in the shard, from 0), ``grown_shard`` (null: only
     the law 'key' has it), ``hilbert`` and the columns ``keep``.
 
     Every row gets a place: null and empty texts have size 1 and checksum 0; null ids, repeated ids
-    and repeated rows are each placed, and ties of the order are broken by id; an empty table gives
-    an empty result.  Texts are read once for size and checksum and never shuffled.
+    and repeated rows are each placed, and ties of the order are broken by id, then as the rows come;
+    an empty table gives an empty result; columns of any name can be carried.  Texts are read once for
+    size and checksum and never shuffled, unless ``keep`` names them.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = documents.select(
@@ -88,22 +120,22 @@ def shard_documents(
     values = [F.least(F.lit(cells - 1), F.floor(F.log2(F.col("size").cast("double"))) * cells / 32).cast("int")]
     for i in range(len(dimensions)):
         # The share of rows before a value, so that frequent values are told apart best.
-        counts = base.groupBy(f"__d{i}").agg(F.count(F.lit(1)).alias("__n"))
-        up_to = Window.orderBy(F.col(f"__d{i}").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-        share = F.coalesce(F.sum("__n").over(up_to), F.lit(0)) * cells / F.sum("__n").over(Window.partitionBy())
-        ranks = counts.select(F.col(f"__d{i}").alias(f"__v{i}"), F.floor(share).cast("int").alias(f"__q{i}"))
+        ranks = _shares_before(base.groupBy(F.col(f"__d{i}").alias("value")).agg(F.count(F.lit(1)).alias("n")))
+        ranks = ranks.select(F.col("value").alias(f"__v{i}"), F.floor(F.col("share") * cells).cast("int").alias(f"__q{i}"))
         base = base.join(ranks, F.col(f"__d{i}").eqNullSafe(F.col(f"__v{i}"))).drop(f"__v{i}")
         values.append(F.col(f"__q{i}"))
-    placed = cut(base.select("*", _curve(values, bits).alias("hilbert")))
+    placed = cut(base.select("*", _curve(values, bits).alias("hilbert"), F.monotonically_increasing_id().alias("__row")))
+    placed = _gathered(placed)
     total = placed.count()
     # Groups for ranking: the cell, a part of the checksum, and for a checksum of many copies itself and a part of the id.
     fine = max(1, -(-total // GROUP_ROWS))
     grouped = placed.select("*", (F.col("text_crc32") % (64 * fine)).alias("__a"))
     if fine > 1:
         copies = placed.groupBy(F.col("hilbert").alias("__ch"), F.col("text_crc32").alias("__cc")).agg(F.expr(f"ceil(count(1) / {GROUP_ROWS})").alias("__parts"))
-        copies = F.broadcast(copies.where("__parts > 1"))
+        # Fewer than one for every GROUP_ROWS rows.
+        copies = _sent(copies.where("__parts > 1"))
         grouped = grouped.join(copies, (F.col("hilbert") == F.col("__ch")) & (F.col("text_crc32") == F.col("__cc")), "left")
-        grouped = grouped.withColumn("__c", F.coalesce("__cc", F.lit(-1))).withColumn("__b", F.pmod(F.xxhash64("__id"), F.coalesce("__parts", F.lit(1)))).drop("__ch", "__cc", "__parts")
+        grouped = grouped.withColumn("__c", F.coalesce("__cc", F.lit(-1))).withColumn("__b", F.pmod(F.xxhash64("__row"), F.coalesce("__parts", F.lit(1)))).drop("__ch", "__cc", "__parts")
     else:
         grouped = grouped.withColumn("__c", F.lit(-1).cast("long")).withColumn("__b", F.lit(0).cast("long"))
     keys = ["hilbert", "__a", "__c", "__b"]
@@ -113,7 +145,7 @@ def shard_documents(
     cell_offsets = per_cell.select(F.col("hilbert").alias("__h"), F.coalesce(F.sum("__m").over(Window.orderBy("hilbert").rowsBetween(*before)), F.lit(0)).alias("__cell"))
     in_cell = F.coalesce(F.sum("__m").over(Window.partitionBy("hilbert").orderBy("__a", "__c", "__b").rowsBetween(*before)), F.lit(0)).alias("__group")
     offsets = groups.select(*keys, in_cell).join(F.broadcast(cell_offsets), F.col("hilbert") == F.col("__h")).select(*keys, (F.col("__cell") + F.col("__group")).alias("__offset"))
-    within = Window.partitionBy(*keys).orderBy("text_crc32", "__id", "size")
+    within = Window.partitionBy(*keys).orderBy("text_crc32", "size", "__id", "__row")
     ranked = grouped.select("*", F.row_number().over(within).alias("__r")).join(offsets, keys).select("*", (F.col("__offset") + F.col("__r") - 1).alias("__rank"))
     shard = F.expr(f"(__rank * {shards}) div {max(total, 1)}")
     # The first rank r with r * shards div total = shard.
@@ -125,5 +157,10 @@ def shard_documents(
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write a result of ``shard_documents`` as Parquet, a folder a shard, rows in slot order."""
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write a result of ``shard_documents`` as Parquet, a folder a shard, rows in slot order.
+
+    Rows are dealt out by ranges of shard and slot, so that a shard of any size is written by many tasks
+    and each file holds a run of the curve; an empty table writes no folder; repeated rows, nulls and
+    long texts are written as they are.
+    """
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
