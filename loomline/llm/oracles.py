@@ -5,7 +5,7 @@ from __future__ import annotations
 # Earliest deadline first as a recursion over the slots of one period.
 MIX_SOURCES = """
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-p AS (SELECT source, n, CAST(greatest(1, floor(1000 * pow(n, 0.5) / (SELECT sum(pow(n, 0.5)) FROM n))) AS BIGINT) AS p FROM n),
+p AS (SELECT source, n, CAST(greatest(1, floor((SELECT greatest(1000, 16 * count(*)) FROM n) * pow(n, 0.5) / (SELECT sum(pow(n, 0.5)) FROM n))) AS BIGINT) AS p FROM n),
 s AS (SELECT list(source ORDER BY source) AS names, list(p ORDER BY source) AS p, CAST(sum(p) AS BIGINT) AS q, count(*) AS m FROM p),
 line(t, had, pick, j) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(p, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM s
