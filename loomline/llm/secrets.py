@@ -43,6 +43,10 @@ BASE_RULES = (
 )
 MORE_RULES = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
+    Rule("slack", "xox[abeoprs]-", "[A-Za-z0-9-]+", 24),
+    Rule("google", "AIza", "[A-Za-z0-9_-]+", 35),
+    Rule("stripe", "[rs]k_(live|test)_", "[A-Za-z0-9]+", 24),
+    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 30),
     Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", ""),
     # The whole key: header fields such as DEK-Info, base64 with line ends (or their escapes), END line.
     Rule("pem_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"(\x0d?\x0a[A-Z][A-Za-z-]*:[\x20-\x7e]*)*[A-Za-z0-9+/=\x5c\x09\x0a\x0d\x20]*-----END ([A-Z]+ )*PRIVATE KEY-----"),
@@ -351,7 +355,9 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def redact(documents: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every span of every rule replaced by ``mark`` in the texts.
 
-    Overlapping spans become one mark.  Texts without secrets, null and empty ones stay as they are.
+    Overlapping spans become one mark.  Texts without secrets, null and empty ones stay as they are, and
+    so do all other columns, of any name; repeated rows are each redacted; an empty table gives an empty
+    one; texts of any length are scanned whole.
     """
     at = documents.columns.index(text_col)
 

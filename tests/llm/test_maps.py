@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import langid, mixing, secrets, sharding
 from loomline.llm.common import held_out
-from tests.llm.conftest import ODD
+from tests.llm.conftest import ODD, SCHEMA
 
 # Language ID
 
@@ -87,6 +87,10 @@ PLAIN = [
     (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
     (re.compile("gh[pousr]_[A-Za-z0-9]+"), lambda m: len(m[0]) >= 40),
+    (re.compile("xox[abeoprs]-[A-Za-z0-9-]+"), lambda m: len(m[0]) >= 29),
+    (re.compile("AIza[A-Za-z0-9_-]+"), lambda m: len(m[0]) >= 39),
+    (re.compile("[rs]k_(?:live|test)_[A-Za-z0-9]+"), lambda m: len(m[0]) >= 32),
+    (re.compile("eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+"), lambda m: len(m[0]) >= 33),
     (re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), lambda m: True),
 ]
 
@@ -96,7 +100,7 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
-PIECES = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH12", "abcdef0123", "0123456789abcdef", "é", "\n", "-", "ghp_", "aB3" * 9, "-----BEGIN ", "RSA ", "PRIVATE KEY-----"]
+PIECES = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH12", "abcdef0123", "0123456789abcdef", "é", "\n", "-", "ghp_", "xoxb-", "AIza", "sk_live_", "eyJ", ".", "_", "aB3" * 9, "-----BEGIN ", "RSA ", "PRIVATE KEY-----"]
 
 
 @settings(max_examples=500, deadline=None)
@@ -162,6 +166,17 @@ def test_copies_stay_together_in_many_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in rows) == [*range(600)] and sum(a != b for a, b in zip(line, line[1:])) == len({*line}) - 1
 
 
+def test_equal_texts_lie_together_in_any_columns(spark, monkeypatch):
+    for rows_a_group in (10, sharding.GROUP_ROWS):
+        monkeypatch.setattr(sharding, "GROUP_ROWS", rows_a_group)
+        rows = [(None if i % 3 else i % 5, f"text {i % 40 if i % 2 else 0}", ["en", "de", None][i % 3], f"s{i % 70}") for i in range(900)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        out = sorted(sharding.shard_documents(frame).collect(), key=lambda r: (r.shard, r.slot))
+        line = [(r.text_crc32, r.size) for r in out]
+        assert sum(a != b for a, b in zip(line, line[1:])) == len({*line}) - 1
+        check_shards(out, [r[:2] for r in rows])
+
+
 def test_hilbert_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
     index = sharding.hilbert_index(grid, 3)
@@ -229,3 +244,22 @@ def test_mix_to_given_weights(spark, weights, block_rows):
     present = {r.source for r in rows}
     if len(present) == len(weights):
         assert all(abs(r.weight - targets[r.source] / sum(weights)) < 1e-12 for r in rows)
+
+
+def test_mix_of_thousands_of_sources(spark):
+    frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 5000).cast("string")).alias("source"))
+    frame = frame.unionByName(spark.range(20_000, 40_000).select(F.col("id").alias("doc_id"), F.lit("big").alias("source")))
+    rows = mixing.mix_sources(frame, block_rows=2).collect()
+    assert Counter(r.source for r in rows)["big"] == 20_000 and len({r.position for r in rows}) == 40_000
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    weight = {r.source: r.weight for r in rows}
+    total = 5000 * 2 + 20_000**0.5
+    assert all(abs(weight[s] * total / wish - 1) < 1 / mixing.SLOTS for s, wish in (("big", 20_000**0.5), ("s7", 2)))
+
+
+def test_mix_where_all_ids_are_null_or_equal(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 20)
+    rows = [(None, f"text {i}", "en", "a", i) for i in range(300)] + [(7, "same", "en", "b", 0)] * 200 + [(i, "x", "en", "b", i) for i in range(100, 130)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), keep=("text",)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((i, t) for i, t, *_ in rows)
+    check_mix(out)
