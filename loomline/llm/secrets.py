@@ -35,7 +35,8 @@ class Rule:
     fold: bool = False
 
 
-# The base rules, in the order in which kinds are listed, and further public token formats.
+# The base rules, in the order in which kinds are listed, and further public token formats.  Bodies that can
+# run side by side multiply the automaton's states, so formats are added by weight.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", 6, True),
     Rule("access", "AKIA", "[A-Z0-9]+", 16),
@@ -44,9 +45,7 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
     Rule("slack", "xox[abeoprs]-", "[A-Za-z0-9-]+", 24),
-    Rule("google", "AIza", "[A-Za-z0-9_-]+", 35),
     Rule("stripe", "[rs]k_(live|test)_", "[A-Za-z0-9]+", 24),
-    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 30),
     Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", ""),
     # The whole key: header fields such as DEK-Info, base64 with line ends (or their escapes), END line.
     Rule("pem_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"(\x0d?\x0a[A-Z][A-Za-z-]*:[\x20-\x7e]*)*[A-Za-z0-9+/=\x5c\x09\x0a\x0d\x20]*-----END ([A-Z]+ )*PRIVATE KEY-----"),
@@ -241,7 +240,8 @@ class Automaton:
         order = sorted(sample, key=lambda p: (self._masks[sample[p]] > 0, sample[p]))
         new = {p: i for i, p in enumerate(order)}
         self.start = new[part[0]]
-        self.move = [new[part[t]] << 8 for p in order for t in self._rows[sample[p]]]
+        shifted = [n << 8 for n in range(len(order))]  # shared by all entries
+        self.move = [shifted[new[part[t]]] for p in order for t in self._rows[sample[p]]]
         self.accept = [self._masks[sample[p]] for p in order]
         self.first_accepting = sum(not m for m in self.accept)
         self.dead = next((i for i in range(len(order)) if not self.accept[i] and all(self.move[i << 8 | c] == i << 8 for c in range(256))), -1)
