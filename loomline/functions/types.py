@@ -61,7 +61,7 @@ class SqlType:
 
     @property
     def family(self) -> str:
-        return FAMILY[self.name]
+        return FAMILY.get(self.name, "other")
 
     @staticmethod
     def checked(name: str, params: tuple[int, ...]) -> SqlType:
@@ -82,14 +82,15 @@ class SqlType:
         return SqlType(name, params)
 
     @staticmethod
-    def of_spark(kind: T.DataType) -> SqlType | None:
-        """The type of a Parquet column, or None if the dialect has none for it."""
-        if isinstance(kind, T.DecimalType):
-            return SqlType("DECIMAL", (kind.precision, kind.scale)) if kind.precision <= 18 and kind.scale < kind.precision else None
-        name = _OF_SPARK.get(type(kind))
-        return SqlType(name) if name else None
+    def of_spark(kind: T.DataType) -> SqlType:
+        """The type of a Parquet column; what the dialect has no type for is named as in Spark, in small letters."""
+        if isinstance(kind, T.DecimalType) and kind.precision <= 18 and kind.scale < kind.precision:
+            return SqlType("DECIMAL", (kind.precision, kind.scale))
+        return SqlType(_OF_SPARK.get(type(kind)) or kind.simpleString())
 
     def spark(self) -> T.DataType:
+        if self.family == "other":
+            return T.DataType.fromDDL(self.name)
         return T.DecimalType(*self.params) if self.name == "DECIMAL" else _SPARK.get(self.name, T.StringType())
 
     def stored(self, value: object) -> object:
@@ -190,4 +191,4 @@ def result_type(kind: T.DataType) -> SqlType:
     """The type by which a computed column's values are shown."""
     if isinstance(kind, T.DecimalType):
         return SqlType("DECIMAL", (kind.precision, kind.scale))
-    return SqlType.of_spark(kind) or SqlType("TEXT")
+    return SqlType.of_spark(kind)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +14,10 @@ from loomline.operators.lowering import predicate
 from loomline.plans import logical as L
 from loomline.plans import syntax as S
 from loomline.plans.resolver import Scope, over
-from loomline.sources.store import Store, Table
+from loomline.sources.store import SMALL, Store, Table
+
+#: Keys of a statement that are looked for by a filter; more go by a join.
+FEW = 50
 
 
 def unique_groups(table: Table) -> list[tuple[str, tuple[int, ...]]]:
@@ -33,14 +39,28 @@ def _writable(table: Table) -> None:
 def _taken(store: Store, table: Table, group: tuple[int, ...], keys: set[tuple]) -> set[tuple]:
     """Which of the new keys the table already has.
 
-    The statement's own keys are the small side, as its text is; the table is filtered by a semi-join.
+    Keys of the tail and of small parts are looked up on the driver, which keeps a bounded number of
+    them.  In large parts the statement's own keys are the small side, as its text is: few of them are a
+    filter that prunes row groups by statistics and Bloom filters, many are a semi-join.
     """
     found = {tuple(row[i] for i in group) for row in table.tail} & keys
-    if table.parts and keys:
+    large = []
+    for part in table.parts if keys else ():
+        if part.rows <= SMALL:
+            found |= store.keys(part, group) & keys
+        else:
+            large.append(part.path)
+    if large:
         names = [f"c{i}" for i in group]
-        asked = store.spark.createDataFrame([*keys], T.StructType([table.schema[i] for i in group]), verifySchema=False)
-        stored = store.spark.read.schema(table.schema).parquet(*table.parts).select(*names)
-        found |= {tuple(row) for row in stored.join(F.broadcast(asked), names, "left_semi").distinct().collect()}
+        stored = store.spark.read.schema(table.schema).parquet(*large).select(*names)
+        if len(keys) <= FEW:
+            kinds = [table.schema[i].dataType for i in group]
+            same = [reduce(and_, (F.col(n) == F.lit(v).cast(t) for n, v, t in zip(names, key, kinds))) for key in keys]
+            hits = stored.where(reduce(or_, same))
+        else:
+            asked = store.spark.createDataFrame([*keys], T.StructType([table.schema[i] for i in group]), verifySchema=False)
+            hits = stored.join(F.broadcast(asked), names, "left_semi")
+        found |= {tuple(row) for row in hits.distinct().collect()}
     return found
 
 
@@ -80,10 +100,10 @@ def insert(store: Store, table: Table, statement: S.Insert) -> Table:
     return store.appended(table, rows)
 
 
-def _condition(table: Table, where):
-    """WHERE of UPDATE and DELETE over numbered columns."""
+def _condition(table: Table, where, negated: bool = False):
+    """WHERE of UPDATE and DELETE over numbered columns, or its opposite."""
     scope = Scope(tuple(L.Field(f"c{i}", c.name, table.name, c.type) for i, c in enumerate(table.columns)), (table.name,))
-    return predicate(over(where, lambda e: S.Compare(scope.find(e.left), e.op, e.right)))
+    return predicate(over(where, lambda e: S.Compare(scope.find(e.left), e.op, e.right)), negated=negated)
 
 
 def update(store: Store, table: Table, statement: S.Update) -> Table:
@@ -121,4 +141,4 @@ def delete(store: Store, table: Table, statement: S.Delete) -> Table:
     _writable(table)
     if statement.where is None:
         return Table(table.name, table.columns)
-    return store.rewritten(table, store.frame(table).where(~_condition(table, statement.where)))
+    return store.rewritten(table, store.frame(table).where(_condition(table, statement.where, negated=True)))

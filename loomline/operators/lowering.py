@@ -37,16 +37,27 @@ def _boolean(expression, leaf: Callable[[S.Compare], Column]) -> Column:
             return leaf(expression)
 
 
-def predicate(expression, strict: bool = False) -> Column:
-    """WHERE: two-valued, a comparison with NULL is false and so NOT of it true."""
+#: What holds of two values that are not null where the comparison does not.
+_OPPOSITE = {"=": "!=", "!=": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}
 
-    def leaf(e: S.Compare) -> Column:
-        literal = e.left.type.literal(e.right.value, strict)
-        if e.op == "=":
-            return F.col(e.left.id).eqNullSafe(literal)
-        return F.coalesce(_COMPARE[e.op](F.col(e.left.id), literal), F.lit(False))
 
-    return _boolean(expression, leaf)
+def predicate(expression, strict: bool = False, negated: bool = False) -> Column:
+    """WHERE, or its opposite: two-valued, a comparison with NULL is false and so NOT of it true.
+
+    Negations are carried down to the comparisons, which then stand plain, so that a scan can take them
+    as filters.  A null result stands for false, as filters and WHEN have it.
+    """
+    match expression:
+        case S.Both(a, b) | S.Either(a, b):
+            left, right = predicate(a, strict, negated), predicate(b, strict, negated)
+            return left & right if isinstance(expression, S.Both) != negated else left | right
+        case S.Negated(a):
+            return predicate(a, strict, not negated)
+        case _:
+            field, literal = F.col(expression.left.id), expression.left.type.literal(expression.right.value, strict)
+            if negated:
+                return field.isNull() | _COMPARE[_OPPOSITE[expression.op]](field, literal)
+            return _COMPARE[expression.op](field, literal)
 
 
 def _having(expression) -> Column:

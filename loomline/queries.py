@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.engine import Engine
-from loomline.errors import ConstraintViolation, LoomlineError
+from loomline.errors import CodecError, LoomlineError
+from loomline.sources.store import Store
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -168,6 +169,56 @@ SPECS: dict[str, tuple[str, str, str | None]] = {
         "SELECT a, b FROM t",
         "SELECT 1 AS a, 'x' AS b",
     ),
+    "pk_composite_rejected": (
+        "CREATE TABLE t(a INT PRIMARY KEY, b INT PRIMARY KEY, c TEXT); INSERT INTO t(a, b, c) VALUES (1, 1, 'x'), (1, 2, 'y'); INSERT INTO t(a, b, c) VALUES (2, 1, 'z'), (1, 2, 'w')",
+        "SELECT a, b, c FROM t",
+        "SELECT * FROM (VALUES (1, 1, 'x'), (1, 2, 'y')) t(a, b, c)",
+    ),
+    "not_null_rejected": (
+        "CREATE TABLE t(a INT NOT NULL, b TEXT); INSERT INTO t(a, b) VALUES (1, 'x'); INSERT INTO t(a, b) VALUES (2, 'y'), (NULL, 'z')",
+        "SELECT a, b FROM t",
+        "SELECT 1 AS a, 'x' AS b",
+    ),
+    "txn_error_undone": (
+        "CREATE TABLE t(a INT); INSERT INTO t(a) VALUES (1); BEGIN; INSERT INTO t(a) VALUES (2); SELECT missing FROM t",
+        "SELECT a FROM t",
+        "SELECT 1 AS a",
+    ),
+    "strict_value_rejected": (
+        "CREATE TABLE t(a SMALLINT, b VARCHAR(3)); INSERT INTO t(a, b) VALUES (1, 'abc'); INSERT INTO t(a, b) VALUES (2, 'ok'), (40000, 'no')",
+        "SELECT a, b FROM t",
+        "SELECT CAST(1 AS SMALLINT) AS a, 'abc' AS b",
+    ),
+    "agg_avg_decimal": (
+        "CREATE TABLE t(k TEXT, d DECIMAL(8, 2)); INSERT INTO t(k, d) VALUES ('a', 1.25), ('a', 2.75), ('b', 10.5), ('b', NULL), ('c', NULL)",
+        "SELECT k, AVG(d) AS a FROM t GROUP BY k",
+        "SELECT k, avg(CAST(d AS DOUBLE)) AS a FROM (VALUES ('a', 1.25), ('a', 2.75), ('b', 10.5), ('b', NULL), ('c', NULL)) t(k, d) GROUP BY k",
+    ),
+    "where_time": (
+        "CREATE TABLE t(id INT, tm TIME); INSERT INTO t(id, tm) VALUES (1, TIME '08:30:00'), (2, TIME '12:00:00'), (3, TIME '23:59:59'), (4, NULL)",
+        "SELECT id FROM t WHERE tm >= TIME '12:00:00'",
+        "SELECT id FROM (VALUES (1, TIME '08:30:00'), (2, TIME '12:00:00'), (3, TIME '23:59:59'), (4, NULL)) t(id, tm) WHERE tm >= TIME '12:00:00'",
+    ),
+    "where_date": (
+        "CREATE TABLE t(id INT, d DATE); INSERT INTO t(id, d) VALUES (1, DATE '2024-02-29'), (2, DATE '2024-03-01'), (3, NULL)",
+        "SELECT id, d FROM t WHERE NOT d = DATE '2024-03-01'",
+        "SELECT id, d FROM (VALUES (1, DATE '2024-02-29'), (2, DATE '2024-03-01'), (3, NULL)) t(id, d) WHERE d IS DISTINCT FROM DATE '2024-03-01'",
+    ),
+    "where_not_nested": (
+        "",
+        "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity < 45.0 OR NOT (l_discount <= 0.02 AND l_returnflag = 'R'))",
+        None,
+    ),
+    "unique_null_repeats": (
+        "CREATE TABLE t(a INT UNIQUE, b TEXT); INSERT INTO t(a, b) VALUES (NULL, 'x'), (NULL, 'y'), (1, 'z')",
+        "SELECT a, COUNT(*) AS n FROM t GROUP BY a",
+        "SELECT * FROM (VALUES (NULL, CAST(2 AS BIGINT)), (1, CAST(1 AS BIGINT))) t(a, n)",
+    ),
+    "parts_after_many_inserts": (
+        "CREATE TABLE t(id INT PRIMARY KEY, g INT);" + "".join(f"INSERT INTO t(id, g) VALUES {', '.join(f'({i}, {i % 7})' for i in range(s, s + 500))};" for s in range(0, 3500, 500)) + "DELETE FROM t WHERE g = 3; UPDATE t SET g = 100 WHERE id = 700",
+        "SELECT g, COUNT(*) AS n, MAX(id) AS m FROM t GROUP BY g",
+        "SELECT CAST(CASE WHEN i = 700 THEN 100 ELSE i % 7 END AS INTEGER) AS g, count(*) AS n, CAST(max(i) AS INTEGER) AS m FROM range(3500) r(i) WHERE i % 7 <> 3 GROUP BY 1",
+    ),
     "types_roundtrip": (
         """CREATE TABLE t(a SMALLINT, b BIGINT, c DOUBLE, d VARCHAR(8), e CHAR(5), f BOOLEAN, g DATE, h TIMESTAMP, i DECIMAL(10, 2), j REAL);
         INSERT INTO t(a, b, c, d, e, f, g, h, i, j) VALUES
@@ -179,6 +230,25 @@ SPECS: dict[str, tuple[str, str, str | None]] = {
 }
 
 
+#: Ends of the names of scripts whose last statement fails.
+FAILING = ("_rejected", "_rejected_rollback", "_undone")
+
+
+def _reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that one engine has written to a warehouse folder, read by another."""
+    folder = Store(spark, None).new_folder()
+    with Engine(spark, folder) as first:
+        first.execute(REOPENED + "BEGIN; INSERT INTO t(a, s, d) VALUES (9, 'open', NULL)")
+    return Engine(spark, folder).query_df("SELECT a, s, d FROM t")
+
+
+#: More rows than a tail holds, then some that stay in it.
+REOPENED = "CREATE TABLE t(a INT PRIMARY KEY, s TEXT, d DECIMAL(6, 2));" + "".join(
+    f"INSERT INTO t(a, s, d) VALUES {', '.join(f'({i}, {chr(39)}s{i}{chr(39)}, {i}.5)' for i in range(start, start + 600))};" for start in (1000, 2000, 3000)
+)
+REOPENED_SQL = "SELECT CAST(a AS INTEGER) AS a, 's' || a AS s, CAST(a + 0.5 AS DECIMAL(6, 2)) AS d FROM range(1000, 3600) r(a) WHERE a % 1000 < 600"
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     script, select, _ = SPECS[name]
 
@@ -189,9 +259,9 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
                 engine.register_parquet(table, f"{sf_dir}/{table}.parquet")
         try:
             engine.execute(script)
-        except LoomlineError as error:
-            # A script whose last statement breaks a constraint shows that nothing of it stays.
-            if not isinstance(error, ConstraintViolation) or "rejected" not in name:
+        except (LoomlineError, CodecError):
+            # A script whose last statement fails shows that nothing of it, or of its transaction, stays.
+            if not name.endswith(FAILING):
                 raise
         return engine.query_df(select)
 
@@ -203,8 +273,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in SPECS}
+    return {name: _query(name) for name in SPECS} | {"warehouse_reopened": _reopened}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql or select for name, (_, select, sql) in SPECS.items()}
+    return {name: sql or select for name, (_, select, sql) in SPECS.items()} | {"warehouse_reopened": REOPENED_SQL}

@@ -26,22 +26,40 @@ SCRIPT_BYTES = 16 * 1024 * 1024
 _PIECES = re.compile(r"""'(?:[^']|'')*(?P<q>'?)|"(?:[^"]|"")*(?P<d>"?)|--[^\n]*(?P<l>\n?)|/\*.*?(?P<b>\*/|\Z)|[();]""", re.DOTALL)
 
 
+# Empty statements, and a statement that holds nothing in which a semicolon could hide.
+_EMPTY = re.compile(r"(?:\s*+;)+")
+_PLAIN = re.compile(r"""[^'"();/-]++;""")
+
+
 def statements(text: str) -> Iterator[tuple[str, bool]]:
-    """(statement, whether it is complete), cut at semicolons outside quotes, comments and parentheses."""
-    start = depth = 0
-    complete = True
-    for m in _PIECES.finditer(text):
+    """(statement, whether it is complete), cut at semicolons outside quotes, comments and parentheses; empty ones are left out."""
+    start = 0
+    while True:
+        if m := _EMPTY.match(text, start):
+            start = m.end()
+        if m := _PLAIN.match(text, start):
+            yield m[0], True
+            start = m.end()
+        elif (found := _next(text, start)) is not None:
+            yield text[start : found[0]], found[1]
+            start = found[0]
+        else:
+            return
+
+
+def _next(text: str, start: int) -> tuple[int, bool] | None:
+    """(end, whether it is complete) of the statement at ``start``, or None if there is none."""
+    depth, complete = 0, True
+    for m in _PIECES.finditer(text, start):
         piece = m[0]
         if piece == ";" and depth <= 0:
-            yield text[start : m.end()], True
-            start, depth = m.end(), 0
-        elif piece in "()" and piece:
+            return m.end(), True
+        if piece in "()" and piece:
             depth += 1 if piece == "(" else -1
         elif piece != ";":
             closed = next((v for v in m.groupdict().values() if v is not None), "")
             complete = bool(closed)
-    if text[start:].strip():
-        yield text[start:], complete and depth <= 0
+    return (len(text), complete and depth <= 0) if text[start:].strip() else None
 
 
 class _Leave(Exception):
