@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once, keep it in the shared checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    out = frame.checkpoint(eager=True)
+    if (made := _made.get()) is not None:
+        made.append(out)
+    return out
+
+
+_made: ContextVar[list[DataFrame] | None] = ContextVar("frames made by cut", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove the files of all frames that ``cut`` makes inside; what is made of them must be written inside, too."""
+    made: list[DataFrame] = []
+    before = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for frame in made:
+            discard(frame)
 
 
 def discard(frame: DataFrame) -> None:
@@ -36,11 +57,15 @@ def discard(frame: DataFrame) -> None:
 
     Its rows must not be needed to recompute anything: whatever was made of it has been cut itself.
     """
-    jvm_rdd = frame._jdf.queryExecution().analyzed().rdd()
-    found = jvm_rdd.getCheckpointFile()
-    if found.isDefined():
-        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(found.get())
-        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    file = frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(frame.sparkSession, file.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import spread
+from loomline.llm.common import cut, spread
 
 #: N-grams in a profile.
 SIZE = 300
-#: Languages whose profiles form one table of ranks.
-LANGUAGES = 128
+#: Languages whose profiles form one table of ranks, and languages that a map is given at a time.
+LANGUAGES, TOGETHER = 128, 2_000
 #: Texts and characters that are worked on together.
 TEXTS, CHARACTERS = 2048, 2_000_000
 #: An n-gram packs three code points of 21 bits, blank 0 before the first and none as 0 behind.
@@ -82,11 +82,12 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> list[tuple[str, int, int]]:
-    """(language, n-gram, rank) of every language's profile, from all rows with a text and language.
+def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> DataFrame:
+    """(lang, gram, rank) of every language's profile, from all rows with a text and language.
 
-    Counts of all n-grams are summed over all rows; ranks go by count, ties by n-gram.  What comes to
-    the driver is at most ``size`` rows for each language; every language is kept.
+    Counts of all n-grams are summed over all rows; ranks go from 0 by count, ties by n-gram.  Every
+    language is kept.  Null and empty texts and null languages teach nothing; repeated rows count each;
+    an empty table gives no profile; whole texts are counted, and other columns are not read.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,13 +106,22 @@ def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = spread(documents.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col))
     grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    return sorted((r["lang"], r["gram"], r["rank"] - 1) for r in ranked.select("lang", "gram", "rank").collect())
+    return cut(ranked.select("lang", "gram", (F.col("rank") - 1).alias("rank")))
+
+
+def profiles(learned: DataFrame) -> list[Profiles]:
+    """The profiles in groups of about ``TOGETHER`` languages; each group's rows are what comes to the driver at a time."""
+    languages = learned.select("lang").distinct().count()
+    groups = max(1, -(-languages // TOGETHER))
+    group = F.pmod(F.xxhash64("lang"), F.lit(groups))
+    return [Profiles([(r["lang"], r["gram"], r["rank"]) for r in learned.where(group == g).collect()]) for g in range(groups)]
 
 
 class Profiles:
     """Profiles as a table for each block of languages: known n-grams in order, and each one's rank in every language."""
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int = SIZE):
+        rows = sorted(rows)
         self.size, self.languages = size, sorted({lang for lang, _, _ in rows})
         number = {lang: k for k, lang in enumerate(self.languages)}
         who = np.array([number[lang] for lang, _, _ in rows], np.int64)
@@ -156,23 +166,37 @@ class Profiles:
         return out
 
 
-def identify(documents: DataFrame, profiles: Profiles, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Predict the language of every text from the text alone; one map, no shuffle.
+def identify(documents: DataFrame, learned: DataFrame | list[Profiles], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Predict the language of every text from the text alone; a map for each group of languages, no shuffle.
 
     Returns the columns ``keep`` with ``lang_pred`` and ``score`` (0 to 1), a row for each input row.
     A null text, and one without a letter, such as the empty text, has ``und`` and score 0; so has every
     text if nothing was learned.  Repeated rows get equal predictions; an empty table gives an
-    empty result; texts of any length are ranked whole.
+    empty result; texts of any length are ranked whole.  Columns of ``keep`` may have any name but those
+    of the result's own two.
     """
-
-    columns = [*dict.fromkeys([*keep, text_col])]
-    at = columns.index(text_col)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = profiles.predict(batch.column(at).to_pylist())
-            out = [*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return spread(documents.select(*columns)).mapInArrow(make, f"{schema}, lang_pred string, score double")
+    groups = profiles(learned) if isinstance(learned, DataFrame) else learned
+    kinds = [documents.schema[c].dataType.simpleString() for c in keep]
+    names = [f"k{i}" for i in range(len(keep))]
+    if text_col in keep:
+        text, more, shown = names[keep.index(text_col)], [], ""
+    else:
+        text, more, shown = "text", [F.col(text_col).alias("text")], "text string, "
+    now = spread(documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], *more, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))
+    for i, group in enumerate(groups):
+
+        def make(batches: Iterator[pa.RecordBatch], group: Profiles = group) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = []
+                texts, lang, score = (batch.column(c).to_pylist() for c in (text, "lang_pred", "score"))
+                for old, new in zip(zip(lang, score), group.predict(texts)):
+                    # The nearer one; of two at one distance the first, and none before any language.
+                    best.append(old if new[0] == UNKNOWN or (old[0] != UNKNOWN and (-old[1], old[0]) < (-new[1], new[0])) else new)
+                out = [*batch.columns[:-2], pa.array([x for x, _ in best], pa.string()), pa.array([x for _, x in best], pa.float64())]
+                yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+        schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), f"{shown}lang_pred string, score double"])
+        now = now.mapInArrow(make, schema)
+        if i + 1 < len(groups):
+            now = cut(now)  # one Python worker a task, however many groups
+    return now.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "lang_pred", "score")

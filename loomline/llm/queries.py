@@ -23,8 +23,8 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = held_out("doc_id", 4, 2)
-    profiles = langid.Profiles(langid.learn(documents.where(~held)))
-    return langid.identify(documents, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    learned = langid.learn(documents.where(~held))
+    return langid.identify(documents, learned).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
         return F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")
 
     to_cells = asked.select("id", "v", F.lit(True).alias("is_query"), dealt(blocks).alias("block"), spread("shard", shards))
-    candidates = rows.select("id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), spread("block", blocks))
+    candidates = rows.select("id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), spread("block", blocks))
     cells = to_cells.unionByName(candidates).groupBy("block", "shard")
 
     def search(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:

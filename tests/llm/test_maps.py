@@ -55,7 +55,7 @@ def test_op3_against_brute_force(documents):
     for row in train.collect():
         totals.setdefault(row.lang, Counter()).update(plain_grams(row.text))
     profiles = {lang: {g: r for r, g in enumerate(plain_rank(c))} for lang, c in totals.items()}
-    found = {r.doc_id: r for r in langid.identify(documents, langid.Profiles(langid.learn(train))).collect()}
+    found = {r.doc_id: r for r in langid.identify(documents, langid.learn(train)).collect()}
     right = 0
     for doc in documents.collect():
         row = found[doc.doc_id]
@@ -69,14 +69,14 @@ def test_op3_against_brute_force(documents):
 
 
 def test_op3_odd_rows(odd, empty):
-    profiles = langid.Profiles(langid.learn(odd))
-    assert profiles.languages == ["de", "en", "xx"]
-    rows = langid.identify(odd, profiles, keep=("doc_id", "text")).collect()
+    learned = langid.learn(odd)
+    assert langid.profiles(learned)[0].languages == ["de", "en", "xx"]
+    rows = langid.identify(odd, learned, keep=("doc_id", "text")).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((i, t) for i, t, *_ in ODD)
     assert all((r.lang_pred == "und") == (r.text is None or not any(c.isalpha() for c in r.text)) for r in rows)
     assert all(r.score == 0 for r in rows if r.lang_pred == "und") and len({r.score for r in rows if r.doc_id in (4, 5)}) == 1
-    assert langid.identify(empty, profiles).collect() == []
-    nothing = langid.Profiles(langid.learn(empty))
+    assert langid.identify(empty, learned).collect() == []
+    nothing = langid.learn(empty)
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, nothing).collect()} == {("und", 0.0)}
 
 
@@ -149,11 +149,15 @@ def test_whole_private_keys_are_redacted(spark):
     assert [r.text for r in secrets.redact(frame).collect()] == ["é [secret] and [secret] end", "[secret]", "[secret] alone"]
 
 
-def test_every_language_is_learned(spark):
+def test_every_language_is_learned(spark, monkeypatch):
     # Language i has a letter of its own; later ones have fewer texts.
     rows = [(chr(0x4E00 + i) * 4, f"l{i:03}") for i in range(520)]
-    profiles = langid.Profiles(langid.learn(spark.createDataFrame(rows, "text string, lang string")))
-    assert [lang for lang, _ in profiles.predict([t for t, _ in rows])] == [lang for _, lang in rows]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    learned = langid.learn(frame)
+    for together in (langid.TOGETHER, 150):
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        assert len(langid.profiles(learned)) == -(-520 // together)
+        assert {(r.lang, r.lang_pred) for r in langid.identify(frame, learned, keep=("lang",)).collect()} == {(lang, lang) for _, lang in rows}
 
 
 def test_copies_stay_together_in_many_groups(spark, monkeypatch):
