@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, langid, mixing, near_dedup, secrets
-from loomline.llm.common import cut, ensure_checkpoint_dir, table
+from loomline.llm.common import cut, ensure_checkpoint_dir, remove, scratch, table
 
 #: A text below this score is far from its language, but only if it also scores less than ``USUAL`` times what is
 #: usual there: clean texts in alphabets score 0.4 and more, those in scripts of thousands of characters under 0.2.
@@ -54,12 +54,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What is usual is the median score of a language's labelled texts of like length (its octave), or the lowest of
     these medians where there is no text of that length.  Without any labels nothing is known, and all documents stay.
+    Null and empty texts have no letters; repeated rows and null ids are judged alike by their texts, texts of any
+    length whole; an empty table stays empty; extra columns of any name are kept.
     """
     rows, name = _numbered(docs)
     learned = langid.learn(rows, name["text"], name["lang"])
-    if not learned:
+    if learned.isEmpty():
         return docs
-    found = langid.identify(rows, langid.Profiles(learned), name["text"], keep=tuple(name.values())).where(F.col("lang_pred") != langid.UNKNOWN)
+    found = langid.identify(rows, learned, name["text"], keep=tuple(name.values())).where(F.col("lang_pred") != langid.UNKNOWN)
     found = cut(found.withColumn("octave", F.floor(F.log2(F.char_length(name["text"]).cast("double")))))
     own = found.where(F.col(name["lang"]) == F.col("lang_pred"))
     medians = cut(own.groupBy(F.col("lang_pred").alias("lang"), F.col("octave").alias("long")).agg(F.percentile_approx("score", 0.5).alias("median")))
@@ -71,7 +73,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Of a group the row with the least id stays; null ids come last.  Texts without words, null or empty, are no
+    duplicates of anything and all stay; repeated rows are one group; texts of any length are compared whole; an
+    empty table stays empty; extra columns of any name are kept.
+    """
     rows, name = _numbered(docs)
     id_col, text_col = name["doc_id"], name["text"]
     # Rows are told apart by a key of their own, as ids may be null or repeated; once written, keys stay.
@@ -86,7 +93,11 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark and ``n_chars`` brought in line."""
+    """All documents, with secrets in their texts replaced by a mark and ``n_chars`` brought in line.
+
+    Null and empty texts stay, a null ``n_chars`` stays null; repeated rows and null ids are treated alike, texts of
+    any length whole; an empty table stays empty; extra columns of any name are kept.
+    """
     rows, name = _numbered(docs)
     clean = secrets.redact(rows, name["text"])
     if "n_chars" in name:
@@ -98,7 +109,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in an order whose every stretch holds the sources in their target weights.
 
-    Files are written in that order; ``bpe_encode`` turns it into the column ``position``.
+    Files are written in that order; ``bpe_encode`` turns it into the column ``position``.  A null source is a source;
+    null and repeated ids and repeated rows each get a place; texts are not looked at; an empty table stays empty;
+    extra columns of any name are kept.
     """
     rows, name = _numbered(docs)
     mixed = mixing.mix_sources(rows, id_col=name["doc_id"], source_col=name["source"], keep=tuple(c for c in name.values() if c not in (name["doc_id"], name["source"])))
@@ -107,7 +120,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, digests of them and of what they decode to, and its place in the mix."""
+    """The token ids of every document, digests of them and of what they decode to, and its place in the mix.
+
+    Null and empty texts have no ids; repeated rows and null ids each give a row; texts of any length are encoded
+    whole; an empty table gives no rows; extra columns are not read.
+    """
     rows, name = _numbered(docs)
     rows = _placed(rows, "place").withColumn("key", F.struct(F.col(name["doc_id"]).alias("doc_id"), F.col("place").alias("position")))
     coded = bpe.encode_and_decode(rows, public_tokenizers.path("word_bpe_49k.json"), "key", name["text"])
@@ -127,11 +144,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; the result is read from the last stage's files."""
+    """Apply all stages to ``documents``; the result is read from the last stage's files.
+
+    Once a stage's files are written, what was computed on the way and the files of the stage before are removed.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline_{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
