@@ -21,6 +21,8 @@ from loomline.llm.common import cut, ensure_checkpoint_dir, remove, scratch, tab
 #: A text below this score is far from its language, but only if it also scores less than ``USUAL`` times what is
 #: usual there: clean texts in alphabets score 0.4 and more, those in scripts of thousands of characters under 0.2.
 LEAST_SCORE, USUAL = 0.2, 0.5
+#: Keys of rows that are sent to all tasks, at most.
+SENT = 200_000
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -29,6 +31,12 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def _sent(frame: DataFrame) -> DataFrame:
+    """A computed table to be joined with the documents; broadcast if it is short enough, which is counted."""
+    frame = cut(frame)
+    return F.broadcast(frame) if frame.count() <= SENT else frame
+
+
 def _placed(docs: DataFrame, column: str) -> DataFrame:
     """The same rows with each one's place in the order in which its files were written, whatever order they are read in.
 
@@ -45,10 +53,15 @@ def _placed(docs: DataFrame, column: str) -> DataFrame:
     number = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1).try_cast("long")
     before = Window.orderBy(number, path).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(path.alias(f"{column}_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{column}_start"))
-    joined = rows.join(F.broadcast(starts), path == F.col(f"{column}_of"))
+    joined = rows.join(_sent(starts), path == F.col(f"{column}_of"))
     return joined.select(*docs.columns, (F.col(f"{column}_start") + F.col(f"{column}_row")).alias(column))
 
 
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``gone``, without the key."""
+    return keyed.join(_sent(gone.withColumnRenamed("row", "gone")), F.col("row") == F.col("gone"), "left_anti").drop("row")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus itself labels; those without letters or far from all go.
 
@@ -61,15 +74,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = langid.learn(rows, name["text"], name["lang"])
     if learned.isEmpty():
         return docs
-    found = langid.identify(rows, learned, name["text"], keep=tuple(name.values())).where(F.col("lang_pred") != langid.UNKNOWN)
-    found = cut(found.withColumn("octave", F.floor(F.log2(F.char_length(name["text"]).cast("double")))))
-    own = found.where(F.col(name["lang"]) == F.col("lang_pred"))
+    keyed = _placed(rows, "row").withColumn("octave", F.floor(F.log2(F.char_length(name["text"]).cast("double"))))
+    # Decisions are made on short rows and brought to the documents by their places.
+    found = cut(langid.identify(keyed, learned, name["text"], keep=("row", name["lang"], "octave")))
+    own = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col(name["lang"]) == F.col("lang_pred")))
     medians = cut(own.groupBy(F.col("lang_pred").alias("lang"), F.col("octave").alias("long")).agg(F.percentile_approx("score", 0.5).alias("median")))
     lowest = medians.groupBy(F.col("lang").alias("low_lang")).agg(F.min("median").alias("lowest"))
     scored = found.join(F.broadcast(medians), (F.col("lang_pred") == F.col("lang")) & (F.col("octave") == F.col("long")), "left")
     scored = scored.join(F.broadcast(lowest), F.col("lang_pred") == F.col("low_lang"), "left")
     usual = F.coalesce("median", "lowest", F.lit(0.0))
-    return scored.where(F.col("score") >= F.least(F.lit(LEAST_SCORE), USUAL * usual)).select(*name.values()).toDF(*docs.columns)
+    gone = scored.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < F.least(F.lit(LEAST_SCORE), USUAL * usual)))
+    return _without(keyed.select("row", *name.values()), gone.select("row")).toDF(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,15 +96,14 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     rows, name = _numbered(docs)
     id_col, text_col = name["doc_id"], name["text"]
-    # Rows are told apart by a key of their own, as ids may be null or repeated; once written, keys stay.
-    keyed = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    # Rows are told apart by their places, as ids may be null or repeated.
+    keyed = _placed(rows, "row")
     marked = near_dedup.near_duplicates(keyed, percent=80, words=5, id_col="row", text_col=text_col).select(F.col("row").alias("marked"), "component_id")
-    # Of each component the row with the least id stays; rows without an id come last, ties go by key.
+    # Of each component the row with the least id stays; rows without an id come last, ties go by place.
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("row"))
-    placed = keyed.select("row", id_col).join(marked, F.col("row") == F.col("marked"))
-    stays = cut(placed.groupBy("component_id").agg(F.min_by("row", order).alias("stays")).select("stays"))
-    kept = keyed.join(stays, F.col("row") == F.col("stays"), "left_semi").drop("row")
-    return kept.toDF(*docs.columns)
+    placed = cut(keyed.select("row", id_col).join(marked, F.col("row") == F.col("marked")).select("row", id_col, "component_id"))
+    stays = placed.groupBy("component_id").agg(F.min_by("row", order).alias("stays")).select("stays")
+    return _without(keyed, placed.join(stays, F.col("row") == F.col("stays"), "left_anti").select("row")).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
