@@ -23,7 +23,7 @@ SIZE = 300
 #: Languages whose profiles form one table of ranks, and languages that a map is given at a time.
 LANGUAGES, TOGETHER = 128, 2_000
 #: Texts and characters that are worked on together.
-TEXTS, CHARACTERS = 2048, 2_000_000
+TEXTS, CHARACTERS = 1024, 400_000
 #: An n-gram packs three code points of 21 bits, blank 0 before the first and none as 0 behind.
 BITS = 21
 BLANK = 32
