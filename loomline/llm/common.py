@@ -27,9 +27,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomline-checkpoint-"))
 
 
+#: Bytes of an Arrow batch, and the session's setting for them.
+BATCH_BYTES, BATCH_SETTING = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session hand rows to Python in batches of a few megabytes, so that memory holds with texts of any length."""
+    if int(spark.conf.get(BATCH_SETTING).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once, keep it in the shared checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(frame.sparkSession)
+    small_batches(frame.sparkSession)
     out = frame.checkpoint(eager=True)
     if (made := _made.get()) is not None:
         made.append(out)
@@ -77,6 +88,7 @@ def spread(scan: DataFrame) -> DataFrame:
 
     For maps whose work on a row is many times the cost of moving it; rows go in turn, not by a key.
     """
+    small_batches(scan.sparkSession)
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(4 * cores)
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import per_batch, spread
+from loomline.llm.common import per_batch, small_batches, spread
 
 
 @dataclass(frozen=True)
@@ -360,6 +360,7 @@ def redact(documents: DataFrame, text_col: str = "text", mark: str = "[secret]")
     one; texts of any length are scanned whole.
     """
     at = documents.columns.index(text_col)
+    small_batches(documents.sparkSession)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine, texts = scanner(), []
