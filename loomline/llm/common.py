@@ -79,6 +79,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of a table that is sent to all tasks, at most.
+SENT = 100_000
+
+
+def sent(frame: DataFrame) -> DataFrame:
+    """A frame to be joined with many rows a key: broadcast if it is short enough, which is counted."""
+    return F.broadcast(frame) if frame.count() <= SENT else frame
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

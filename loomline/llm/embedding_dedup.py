@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, discard, partitions, runs
+from loomline.llm.common import cut, discard, partitions, runs, sent
 from loomline.llm.components import connected_components
 from loomline.llm.topk import usable
 
@@ -120,25 +120,42 @@ def _entries(sims: np.ndarray, ids: np.ndarray, near: float, floor: float) -> tu
     return ids[at].tolist(), sims[at].tolist(), links > LONGEST
 
 
-def _first_lists(nodes: DataFrame, draws: range, bits: int, near: float, floor: float) -> DataFrame:
+def _draws(bits: int, angle: float) -> int:
+    """Draws of cells by ``bits`` hyperplanes after which a pair at the angle has been apart in all with probability ``MISS``."""
+    together = (1 - angle / math.pi) ** bits
+    return min(DRAWS, math.ceil(math.log(MISS) / math.log1p(-together))) if bits else 1
+
+
+def _large(nodes: DataFrame) -> DataFrame:
+    """(space, bits, parts) of the spaces that are divided: hyperplanes that make cells of ``CELL`` nodes, parts of ``PARTNERS``."""
+    sizes = nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(CELL, PARTNERS))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL))).cast("int")
+    return cut(sizes.select("space", bits.alias("bits"), F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts")))
+
+
+def _first_lists(nodes: DataFrame, large: DataFrame, first: int, times: list[int], near: float, floor: float) -> DataFrame:
     """Lists from the cells of several draws: nodes on the same sides of random hyperplanes, in the order of a projection.
 
-    Rows are dealt out by ranges of (draw, space, cell, projection), so a cell of any size is spread; each run of
-    ``CELL`` nodes is compared with itself and the last ``AGAIN`` nodes before it.
+    ``times`` has the draws of a space by its bits.  Rows are dealt out by ranges of (draw, space, cell, projection), so
+    a cell of any size is spread; each run of ``CELL`` nodes is compared with itself and the last ``AGAIN`` nodes before
+    it.  A space without bits has no projection: its nodes, ``CELL`` at most, lie in one task and are all compared.
     """
+    most = len(times) - 1
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves = batch.column(2).to_pylist()
-            sizes = np.array([len(h) for h in halves])
+            halves, bits = batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            sizes, wanted = np.array([len(h) for h in halves]), np.array(times)[bits]
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                x = _stacked([halves[i] for i in at], np.float16).astype(np.float64)
-                part = batch.take(pa.array(at))
-                for draw in draws:
-                    found = x @ _planes(draw, bits, x.shape[1])
-                    code = (found[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(at), np.int64)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(at), draw), pa.int32()), pa.array(code, pa.int64()), pa.array(found[:, bits])], names=["node", "space", "half", "draw", "code", "along"])
+                for draw in range(max(times)):
+                    at = np.flatnonzero((sizes == size) & (wanted > draw))
+                    if not len(at):
+                        break
+                    x, own = _stacked([halves[i] for i in at], np.float16).astype(np.float64), bits[at]
+                    found = x @ _planes(first + draw, most, x.shape[1])
+                    code = (found[:, :most] > 0) @ (1 << np.arange(most)) & (1 << own.astype(np.int64)) - 1
+                    along = np.where(own > 0, found[:, most], 0.0)
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns[:3], pa.array(np.full(len(at), draw), pa.int32()), pa.array(code, pa.int64()), pa.array(along)], names=["node", "space", "half", "draw", "code", "along"])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, ids, x = None, np.empty(0, np.int64), np.empty((0, 0), np.float32)
@@ -159,7 +176,8 @@ def _first_lists(nodes: DataFrame, draws: range, bits: int, near: float, floor:
             before, ids, x = cell, own[-AGAIN:], y[-AGAIN:]
 
     order = ["draw", "space", "code", "along"]
-    dealt = nodes.select("node", "space", "half").mapInArrow(sides, "node long, space string, half binary, draw int, code long, along double").repartitionByRange(partitions(nodes.sparkSession), *order)
+    sized = nodes.select("node", "space", "half").join(sent(large.select("space", "bits")), "space", "left").select("node", "space", "half", F.coalesce("bits", F.lit(0)).alias("bits"))
+    dealt = sized.mapInArrow(sides, "node long, space string, half binary, draw int, code long, along double").repartitionByRange(partitions(nodes.sparkSession), *order)
     return dealt.sortWithinPartitions(*order).mapInArrow(nearest, LISTS)
 
 
@@ -244,9 +262,9 @@ def _refined(lists: DataFrame, near: float, floor: float) -> DataFrame:
     return _merged(lists.withColumn("fresh", F.transform("fresh", lambda f: F.lit(False))).unionByName(met.mapInArrow(meet, LISTS)), near)
 
 
-def _search(nodes: DataFrame, lists: DataFrame | None, draws: range, bits: int, near: float, floor: float) -> DataFrame:
+def _search(nodes: DataFrame, large: DataFrame, lists: DataFrame | None, begun: int, times: list[int], near: float, floor: float) -> DataFrame:
     """The neighbour lists after more draws of cells and rounds of refinement, ``u`` to ``fresh`` as in ``LISTS``."""
-    first = _first_lists(nodes, draws, bits, near, floor)
+    first = _first_lists(nodes, large, begun, times, near, floor)
     now = cut(_merged(first if lists is None else lists.unionByName(first), near))
     for _ in range(ROUNDS):
         before, now = now, cut(_refined(now, near, floor))
@@ -279,7 +297,7 @@ def _exact(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 COMPARED = "node long, n long, u long, v long, both boolean"
 
 
-def _compared(nodes: DataFrame, full: DataFrame, roots: DataFrame, spaces: dict[str, int], threshold: float) -> DataFrame:
+def _compared(nodes: DataFrame, large: DataFrame, full: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """Full nodes against all nodes that can be linked with them.
 
     Rows either count (node, n): the copies of other nodes that a full node is linked with; or are links
@@ -308,7 +326,7 @@ def _compared(nodes: DataFrame, full: DataFrame, roots: DataFrame, spaces: dict[
     balls = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(enclose, "space string, root long, slice int, mean binary, angle double").withColumn("ball", F.monotonically_increasing_id()))
     # Taken in groups of about half of BALLS each, by a hash.
     groups = max(1, -(-balls.count() // max(1, BALLS // 2)))
-    parts = {space: -(-n // PARTNERS) for space, n in spaces.items() if n > PARTNERS}
+    parted, parts = sent(large.select("space", "parts")), F.coalesce("parts", F.lit(1)).alias("parts")
     near = None
     for group in range(groups):
         own = balls.where(F.pmod(F.xxhash64("ball"), F.lit(groups)) == group).collect()
@@ -323,23 +341,22 @@ def _compared(nodes: DataFrame, full: DataFrame, roots: DataFrame, spaces: dict[
         def meet(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 space = np.array(batch.column("space").to_pylist(), object)
+                slices = batch.column("node").to_numpy() % batch.column("parts").to_numpy()
                 for name, (ball, mean, least) in tables.items():
                     at = np.flatnonzero(space == name)
                     if len(at):
                         i, j = np.nonzero(_stacked(batch.column("unit").take(pa.array(at)), np.float64) @ mean.T >= least - ROUNDING)
                         met = batch.take(pa.array(at[i]))
-                        slice_ = pa.array(met.column("node").to_numpy() % parts.get(name, 1), pa.int32())
+                        slice_ = pa.array(slices[at[i]], pa.int32())
                         yield pa.RecordBatch.from_arrays([met.column("node"), met.column("copies"), met.column("unit"), pa.array(ball[j], pa.int64()), slice_], names=["node", "copies", "unit", "ball", "part"])
 
-        some = nodes.select("node", "space", "copies", "unit").mapInArrow(meet, "node long, copies long, unit binary, ball long, part int")
+        some = nodes.select("node", "space", "copies", "unit").join(parted, "space", "left").select("node", "space", "copies", "unit", parts).mapInArrow(meet, "node long, copies long, unit binary, ball long, part int")
         near = some if near is None else near.unionByName(some)
     marks = dealt.select(F.col("node").alias("full_node"))
     near = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(marks, F.col("node") == F.col("full_node"), "left")
     near = near.select("ball", "part", "node", "copies", "unit", "root", F.col("full_node").isNotNull().alias("full"), F.lit(1).alias("role"))
-    several = [x for space, k in parts.items() for x in (F.lit(space), F.lit(k))]
-    count = F.coalesce(F.element_at(F.create_map(*several), F.col("space")), F.lit(1)) if several else F.lit(1)
-    part = F.explode(F.sequence(F.lit(0), count - 1))
-    inside = dealt.join(balls.select(*keys, "ball"), keys).select("ball", part.alias("part"), "node", "copies", "unit", "root", F.lit(True).alias("full"), F.lit(0).alias("role"))
+    part = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    inside = dealt.join(balls.select(*keys, "ball"), keys).join(parted, "space", "left").select("ball", part.alias("part"), "node", "copies", "unit", "root", F.lit(True).alias("full"), F.lit(0).alias("role"))
     cell = ["ball", "part"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,22 +442,20 @@ def near_duplicate_vectors(
     id_type = vectors.schema[id_col].dataType.simpleString()
     rows = _rows(vectors, id_col, vector_col, label_col)
     nodes = cut(_nodes(rows))
-    spaces = {r["space"]: r["n"] for r in nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n")).limit(1000).collect()}
-    largest = max(spaces.values(), default=0)
-    bits = max(0, math.ceil(math.log2(max(largest, 1) / CELL)))
+    large = _large(nodes)
     angle = math.acos(min(1.0, threshold))
     near, floor = threshold - MARGIN, math.cos(min(2 * angle, math.pi / 2)) - MARGIN
-    together = (1 - angle / math.pi) ** bits
-    draws = 1 if not bits else min(DRAWS, math.ceil(math.log(MISS) / math.log1p(-together)))
+    times = [_draws(bits, angle) for bits in range((large.agg(F.max("bits")).first()[0] or 0) + 1)]
     lists, begun = None, 0
     for search in range(1, SEARCHES + 1):
-        now = _search(nodes, lists, range(begun, begun + draws), bits, near, floor)
-        begun, draws, lists = begun + draws, 2 * draws, now
+        lists = _search(nodes, large, lists, begun, times, near, floor)
+        # Spaces without bits have been compared whole.
+        begun, times = begun + max(times), [0, *(2 * n for n in times[1:])]
         full = lists.where("full").select("u")
         links = cut(_exact(lists.select("u", F.explode(F.arrays_zip("vs", "sims")).alias("e")).where(F.col("e.sims") >= near).select("u", F.col("e.vs").alias("v")), nodes, threshold))
         roots, compared = connected_components(links), None
         if not full.isEmpty():
-            compared = cut(_compared(nodes, full, roots, spaces, threshold))
+            compared = cut(_compared(nodes, large, full, roots, threshold))
             links = links.unionByName(compared.where("u IS NOT NULL").select("u", "v"))
         true, known = _audit(nodes, full, links, threshold + ROUNDING)
         if known >= recall * true:
@@ -448,7 +463,7 @@ def near_duplicate_vectors(
     exact = known < recall * true
     if exact:
         full = nodes.select(F.col("node").alias("u"))
-        compared = cut(_compared(nodes, full, roots, spaces, threshold))
+        compared = cut(_compared(nodes, large, full, roots, threshold))
         links, known = links.unionByName(compared.where("u IS NOT NULL").select("u", "v")), true
     found = {"links": true, "found": known, "recall": known / true if true else 1.0, "searches": search, "exact": exact}
     log.info("audit of near-duplicate vectors: %s", found)

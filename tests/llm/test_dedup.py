@@ -258,6 +258,27 @@ def test_op8_failed_audits_end_in_an_exact_comparison(spark, monkeypatch):
     assert report["exact"] and report["searches"] == embedding_dedup.SEARCHES and report["recall"] == 1
 
 
+@pytest.mark.parametrize("largest", [64, 500])
+def test_op8_labels_that_fit_in_a_cell_are_compared_whole(spark, monkeypatch, largest):
+    # One draw, no refinement and no repeated search: only what lies in one cell is found, however large other labels are.
+    for name, value in {"CELL": 64, "AGAIN": 0, "MISS": 0.9, "DRAWS": 1, "ROUNDS": 0}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(31)
+    rows = []
+    for label in range(40):
+        for _ in range(32):
+            x = rng.normal(size=16)
+            x /= np.linalg.norm(x)
+            rows += [(len(rows), x.tolist(), label), (len(rows) + 1, at_cosine(rng, x, 0.94).tolist(), label)]
+    rows += [(len(rows) + i, rng.normal(size=16).tolist(), 99) for i in range(largest)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(7)
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(frame, recall=0.0, report=report).collect()}
+    assert report["searches"] == 1 and not report["exact"]
+    small = [r for r in rows if r[2] != 99]
+    assert [got[r[0]] for r in small] == plain_links(small)
+
+
 def test_op8_enlarged_lists_and_full_nodes(spark, monkeypatch):
     # Families smaller and larger than a list, an enlarged list and a block; one part of a label's partners for 300.
     monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
