@@ -83,9 +83,9 @@ def remove(spark: SparkSession, path: str) -> None:
 SENT = 100_000
 
 
-def sent(frame: DataFrame) -> DataFrame:
-    """A frame to be joined with many rows a key: broadcast if it is short enough, which is counted."""
-    return F.broadcast(frame) if frame.count() <= SENT else frame
+def sent(frame: DataFrame, most: int = SENT) -> DataFrame:
+    """A frame to be joined with many rows a key: broadcast if it has ``most`` rows or fewer, which is counted."""
+    return F.broadcast(frame) if frame.count() <= most else frame
 
 
 def partitions(spark: SparkSession) -> int:

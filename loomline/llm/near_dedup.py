@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, spread
+from loomline.llm.common import cut, sent, spread
 from loomline.llm.components import connected_components
 
 #: Signature values a band takes together, and signature values compared at a time.
@@ -44,8 +44,8 @@ TOGETHER = 400_000
 #: Signature values are 16 bits of a minimum that is mixed first, as the minimum of a large set is all but zero in its
 #: upper bits: of two sets with nothing in common, one value in 65,536 is equal, whatever their sizes.
 SIGNED = "<u2"
-#: Copies of a set above which the class is sent to its rows, and the most rows that are sent so.
-COPIES, SENT = 10_000, 100_000
+#: Copies of a set above which the class is sent to its rows.
+COPIES = 10_000
 
 
 def bands_for(percent: int) -> int:
@@ -197,11 +197,6 @@ def _plausible(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray
     return alive
 
 
-def _sent(frame: DataFrame) -> DataFrame:
-    """A frame to be joined with many rows a key: broadcast if it is short enough, which is counted."""
-    return F.broadcast(frame) if frame.count() <= SENT else frame
-
-
 def _starred(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     """(a, part, b, *columns): the stars of all pairs (a, b), sorted so that the centre a comes first, with b null.
 
@@ -209,7 +204,7 @@ def _starred(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFram
     member's own, so that a centre with any number of members is spread over many tasks.
     """
     stars = cut(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {STAR}) AS int)").alias("parts")))
-    large = _sent(stars.where("parts > 1"))
+    large = sent(stars.where("parts > 1"))
     members = pairs.join(large, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
     members = members.join(nodes.withColumnRenamed("node", "b"), "b").select("a", "part", "b", *columns)
     part = F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
@@ -391,7 +386,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, id_
 def _told(sets: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
     """The result: each row gets its class's least id.  Classes of many copies are sent to their rows."""
     some = sets.where(F.col("digest").isNotNull())
-    many = _sent(placed.where(F.col("copies") > COPIES).select("digest", "least"))
+    many = sent(placed.where(F.col("copies") > COPIES).select("digest", "least"))
     few = placed.where(F.col("copies") <= COPIES).select("digest", "least")
     columns = ["id", "n_shingles", "least"]
     joined = some.join(many, "digest").select(columns).unionByName(some.join(many, "digest", "left_anti").join(few, "digest").select(columns))

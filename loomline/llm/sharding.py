@@ -14,12 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, partitions
+from loomline.llm.common import cut, partitions, sent
 
 #: Rows that one ranking group should hold on average.
 GROUP_ROWS = 200_000
-#: Rows of a table that is sent to all tasks, at most.
-SENT = 100_000
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -59,12 +57,6 @@ def _curve(dimensions: Sequence[Column], bits: int) -> Column:
     return place(*dimensions)
 
 
-def _sent(frame: DataFrame) -> DataFrame:
-    """A frame to be joined with many rows a key: broadcast if it is short enough, which is counted."""
-    frame = cut(frame)
-    return F.broadcast(frame) if frame.count() <= SENT else frame
-
-
 def _shares_before(counts: DataFrame) -> DataFrame:
     """(value, share): the share of all rows that come before a value, null first.
 
@@ -82,7 +74,7 @@ def _shares_before(counts: DataFrame) -> DataFrame:
 def _gathered(placed: DataFrame) -> DataFrame:
     """The rows with all copies of a text in one cell, the first on the curve that any of them has."""
     cells = placed.groupBy(F.col("text_crc32").alias("__tc"), F.col("size").alias("__ts")).agg(F.min("hilbert").alias("__first"), F.max("hilbert").alias("__last"))
-    moved = _sent(cells.where("__first < __last").drop("__last"))
+    moved = sent(cut(cells.where("__first < __last").drop("__last")))
     joined = placed.join(moved, (F.col("text_crc32") == F.col("__tc")) & (F.col("size") == F.col("__ts")), "left")
     return joined.withColumn("hilbert", F.coalesce("__first", "hilbert")).drop("__tc", "__ts", "__first")
 
@@ -133,7 +125,7 @@ def shard_documents(
     if fine > 1:
         copies = placed.groupBy(F.col("hilbert").alias("__ch"), F.col("text_crc32").alias("__cc")).agg(F.expr(f"ceil(count(1) / {GROUP_ROWS})").alias("__parts"))
         # Fewer than one for every GROUP_ROWS rows.
-        copies = _sent(copies.where("__parts > 1"))
+        copies = sent(cut(copies.where("__parts > 1")))
         grouped = grouped.join(copies, (F.col("hilbert") == F.col("__ch")) & (F.col("text_crc32") == F.col("__cc")), "left")
         grouped = grouped.withColumn("__c", F.coalesce("__cc", F.lit(-1))).withColumn("__b", F.pmod(F.xxhash64("__row"), F.coalesce("__parts", F.lit(1)))).drop("__ch", "__cc", "__parts")
     else:
