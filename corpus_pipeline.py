@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, langid, mixing, near_dedup, secrets
-from loomline.llm.common import cut, ensure_checkpoint_dir, remove, scratch, table
+from loomline.llm.common import cut, ensure_checkpoint_dir, remove, scratch, sent, table
 
 #: A text below this score is far from its language, but only if it also scores less than ``USUAL`` times what is
 #: usual there: clean texts in alphabets score 0.4 and more, those in scripts of thousands of characters under 0.2.
 LEAST_SCORE, USUAL = 0.2, 0.5
-#: Keys of rows that are sent to all tasks, at most.
-SENT = 200_000
+#: Keys of rows that go which are sent to all tasks, at most; beyond, the documents are shuffled to meet them.
+KEYS = 200_000
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -31,12 +31,6 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
-def _sent(frame: DataFrame) -> DataFrame:
-    """A computed table to be joined with the documents; broadcast if it is short enough, which is counted."""
-    frame = cut(frame)
-    return F.broadcast(frame) if frame.count() <= SENT else frame
-
-
 def _placed(docs: DataFrame, column: str) -> DataFrame:
     """The same rows with each one's place in the order in which its files were written, whatever order they are read in.
 
@@ -53,13 +47,13 @@ def _placed(docs: DataFrame, column: str) -> DataFrame:
     number = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1).try_cast("long")
     before = Window.orderBy(number, path).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(path.alias(f"{column}_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{column}_start"))
-    joined = rows.join(_sent(starts), path == F.col(f"{column}_of"))
+    joined = rows.join(sent(cut(starts)), path == F.col(f"{column}_of"))
     return joined.select(*docs.columns, (F.col(f"{column}_start") + F.col(f"{column}_row")).alias(column))
 
 
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose key is not among ``gone``, without the key."""
-    return keyed.join(_sent(gone.withColumnRenamed("row", "gone")), F.col("row") == F.col("gone"), "left_anti").drop("row")
+    return keyed.join(sent(cut(gone.withColumnRenamed("row", "gone")), KEYS), F.col("row") == F.col("gone"), "left_anti").drop("row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +74,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col(name["lang"]) == F.col("lang_pred")))
     medians = cut(own.groupBy(F.col("lang_pred").alias("lang"), F.col("octave").alias("long")).agg(F.percentile_approx("score", 0.5).alias("median")))
     lowest = medians.groupBy(F.col("lang").alias("low_lang")).agg(F.min("median").alias("lowest"))
-    scored = found.join(F.broadcast(medians), (F.col("lang_pred") == F.col("lang")) & (F.col("octave") == F.col("long")), "left")
-    scored = scored.join(F.broadcast(lowest), F.col("lang_pred") == F.col("low_lang"), "left")
+    scored = found.join(sent(medians), (F.col("lang_pred") == F.col("lang")) & (F.col("octave") == F.col("long")), "left")
+    scored = scored.join(sent(lowest), F.col("lang_pred") == F.col("low_lang"), "left")
     usual = F.coalesce("median", "lowest", F.lit(0.0))
     gone = scored.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < F.least(F.lit(LEAST_SCORE), USUAL * usual)))
     return _without(keyed.select("row", *name.values()), gone.select("row")).toDF(*docs.columns)
