@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from loomline.llm import merges
 from loomline.llm.common import per_batch, spread
 
-REMEMBERED = 250_000
+#: Words of a generation; two are remembered.
+REMEMBERED = 60_000
 LONGEST_REMEMBERED = 40
 #: Symbols read at a time beyond the lookahead.
 STRIDE = 512
@@ -126,19 +127,23 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Words(dict):
-    """(ids as little-endian 32-bit integers, decoded text) of a word; bounded in entries."""
+    """(ids as little-endian 32-bit integers, decoded text) of a word; words not met for a generation are forgotten."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict = {}
         self.table, self.ahead = merges.load(path), _lookahead(path)
 
     def __missing__(self, piece):
-        word = piece if isinstance(piece, bytes) else piece.encode("utf-8")
-        encoder, decoder = Encoder(self.table, self.ahead), Decoder(self.table)
-        ids = [*encoder.push(word)] + encoder.close()
-        both = (_packed(ids), decoder.push(ids) + decoder.close())
-        if len(word) <= LONGEST_REMEMBERED:
+        both = self.older.get(piece)
+        if both is None:
+            word = piece if isinstance(piece, bytes) else piece.encode("utf-8")
+            encoder, decoder = Encoder(self.table, self.ahead), Decoder(self.table)
+            ids = [*encoder.push(word)] + encoder.close()
+            both = (_packed(ids), decoder.push(ids) + decoder.close())
+        if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = both
         return both
